@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from pixelloom.workload import labels  # noqa: F401
+from pixelloom.workload import curation, images, labels, sessions  # noqa: F401
 from pixelloom.workload.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
