@@ -281,8 +281,9 @@ def equalise_tiles(
     """Contrast-limited equalisation on an 8 x 8 grid of tiles for 0..255 values.
 
     Tile histograms are clipped, the excess is spread evenly, and each pixel blends
-    the mappings of its four nearest tiles. Per image this makes at most 81 * 256 rows
-    of mapped values; pixels meet them in one salted join.
+    the mappings of its four nearest tiles. Mappings are worked out only for the
+    (cell, value) pairs that occur, at most 81 * 256 per image; pixels meet them in
+    one salted join.
     """
     keys = list(keys)
     rows, cols = F.col("height"), F.col("width")
@@ -307,53 +308,52 @@ def equalise_tiles(
             F.floor(F.col("_px") / F.col("_tw")).cast("int").alias("_tx"), "_v",
         ).agg(F.count("*").alias("_n"), F.max("_th").alias("_th"), F.max("_tw").alias("_tw"))
     )
-    # a tile row with all 256 counts: a small fixed-size array per tile
-    area = F.col("_th") * F.col("_tw")
-    limit = F.greatest(F.floor(F.lit(float(clip)) * area / LEVELS), F.lit(1)).cast("bigint")
-    full = (
-        hist.groupBy(*keys, "_ty", "_tx")
-        .agg(
-            F.max(area).alias("_area"), F.max(limit).alias("_limit"),
-            F.sum(F.greatest(F.col("_n") - limit, F.lit(0))).alias("_excess"),
-            F.map_from_entries(F.collect_list(F.struct("_v", "_n"))).alias("_h"),
-        )
-        .withColumn("_batch", F.floor(F.col("_excess") / LEVELS))
-        .withColumn("_left", F.col("_excess") % LEVELS)
-        .withColumn("_step", F.when(F.col("_left") > 0, F.greatest(F.floor(LEVELS / F.col("_left")), F.lit(1))).otherwise(1))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_v"))
-    )
-    extra = ((F.col("_v") % F.col("_step") == 0) & (F.floor(F.col("_v") / F.col("_step")) < F.col("_left"))).cast("bigint")
-    count = F.least(F.coalesce(F.try_element_at("_h", F.col("_v")), F.lit(0)), F.col("_limit")) + F.col("_batch") + extra
-    upto = Window.partitionBy(*keys, "_ty", "_tx").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    lut = full.withColumn("_c", count).select(
-        *keys, "_ty", "_tx", "_v",
-        F.least(F.lit(255.0), F.bround(F.sum("_c").over(upto) * (F.lit(255.0) / F.col("_area")), 0)).alias("_m"),
-    )
-
-    # the cell (cy, cx) lies between tiles cy - 1 and cy; edge cells repeat their tile
-    def cells(t: str) -> Column:
-        low, high = F.col(t) + 1, F.col(t)
-        spread = F.array(
-            F.struct(low.alias("c"), F.lit(0).alias("s")), F.struct(high.alias("c"), F.lit(1).alias("s")),
-            F.when(F.col(t) == 0, F.struct(F.lit(0).alias("c"), F.lit(0).alias("s"))),
-            F.when(F.col(t) == TILES - 1, F.struct(F.lit(TILES).alias("c"), F.lit(1).alias("s"))),
-        )
-        return F.filter(spread, lambda e: e.isNotNull())
-
-    corners = (
-        lut.withColumn("_y", F.explode(cells("_ty"))).withColumn("_x", F.explode(cells("_tx")))
-        .groupBy(*keys, F.col("_y.c").alias("_cy"), F.col("_x.c").alias("_cx"), "_v")
-        .agg(*[
-            F.max(F.when((F.col("_y.s") == a) & (F.col("_x.s") == b), F.col("_m"))).alias(f"_m{a}{b}")
-            for a in (0, 1) for b in (0, 1)
-        ])
-    )
     fy = F.col("y") / F.col("_th") - 0.5
     fx = F.col("x") / F.col("_tw") - 0.5
+    # cell (cy, cx) has tiles cy - 1 and cy above and below it; edge cells repeat a tile
     placed = at.select(
-        *keys, "y", "x", "_v", (F.floor(fy) + 1).cast("int").alias("_cy"), (F.floor(fx) + 1).cast("int").alias("_cx"),
+        *keys, "y", "x", "_v", "_th", "_tw",
+        (F.floor(fy) + 1).cast("int").alias("_cy"), (F.floor(fx) + 1).cast("int").alias("_cx"),
         (fy - F.floor(fy)).alias("_wy"), (fx - F.floor(fx)).alias("_wx"),
     )
+    corner = F.explode(F.array(*[
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)
+    ])).alias("_at")
+
+    def tile_of(cell: str, side: str) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(TILES - 1), F.col(cell) - 1 + F.col(f"_at.{side}")))
+
+    asked = (
+        placed.groupBy(*keys, "_cy", "_cx", "_v").agg(F.max("_th").alias("_th"), F.max("_tw").alias("_tw"))
+        .select("*", corner)
+        .select(
+            *keys, tile_of("_cy", "a").alias("_ty"), tile_of("_cx", "b").alias("_tx"), "_v",
+            F.lit(0).cast("bigint").alias("_n"), "_th", "_tw", "_cy", "_cx", "_at",
+        )
+    )
+    # a tile sees its own counts and the values asked of it: at most 256 + 4 * 256 rows
+    tile = Window.partitionBy(*keys, "_ty", "_tx")
+    upto = tile.orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    area = F.col("_th") * F.col("_tw")
+    limit = F.greatest(F.floor(F.lit(float(clip)) * area / LEVELS), F.lit(1)).cast("bigint")
+    spread = (
+        hist.unionByName(asked, allowMissingColumns=True)
+        .withColumn("_limit", limit)
+        .withColumn("_excess", F.sum(F.greatest(F.col("_n") - F.col("_limit"), F.lit(0))).over(tile))
+        .withColumn("_kept", F.sum(F.least("_n", "_limit")).over(upto))
+        .filter("_at is not null")
+    )
+    batch, left = F.floor(F.col("_excess") / LEVELS), F.col("_excess") % LEVELS
+    step = F.greatest(F.floor(LEVELS / F.greatest(left, F.lit(1))), F.lit(1))
+    total = (
+        F.col("_kept") + batch * (F.col("_v") + 1)
+        + F.when(left > 0, F.least(left, F.floor(F.col("_v") / step) + 1)).otherwise(F.lit(0))
+    )
+    mapped = spread.withColumn("_m", F.least(F.lit(255.0), F.bround(total * (F.lit(255.0) / area), 0)))
+    corners = mapped.groupBy(*keys, "_cy", "_cx", "_v").agg(*[
+        F.max(F.when((F.col("_at.a") == a) & (F.col("_at.b") == b), F.col("_m"))).alias(f"_m{a}{b}")
+        for a in (0, 1) for b in (0, 1)
+    ])
     mixed = salted_join(placed, corners, [*keys, "_cy", "_cx", "_v"], ["y", "x"], "inner", salts=4)
     top = F.col("_m00") * (1 - F.col("_wx")) + F.col("_m01") * F.col("_wx")
     bottom = F.col("_m10") * (1 - F.col("_wx")) + F.col("_m11") * F.col("_wx")
