@@ -114,7 +114,7 @@ def epoch_averages(batches: DataFrame, metrics: Sequence[str], phases: Sequence[
                    keys: Sequence[str] = ("run", "epoch")) -> DataFrame:
     """Unweighted batch means per epoch, one column per phase and metric."""
     out = batches.groupBy(*keys).pivot("phase", list(phases)).agg(
-        *[F.avg(m).alias(m) for m in metrics], F.count("*").alias("_n")
+        *[F.avg(m).alias(m) for m in metrics], F.count(F.lit(1)).alias("_n")
     )
     return out.select(*keys, *[F.col(f"{p}_{m}") for p in phases for m in metrics])
 

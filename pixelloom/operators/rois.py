@@ -149,8 +149,31 @@ def roi_summary(
     Areas are kept list lengths (repeats count); ``positive_pixels`` are distinct
     pixels. Sessions without ROIs get zeros.
     """
+    return _summarise(*clean_roi_pixels(pixels, shapes, keys), shapes, keys)
+
+
+def summarise_records(
+    cleaned: DataFrame, shapes: DataFrame, keys: Sequence[str] = ("session",)
+) -> DataFrame:
+    """The same summary from the records :func:`clean_rois` returns."""
+    facts = cleaned.select(
+        *keys, "roi_id", "ord", F.size("xpix").cast("bigint").alias("area"), "invalid", "kept"
+    )
+    return _summarise(record_pixels(cleaned, keys), facts, shapes, keys)
+
+
+def record_pixels(cleaned: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
+    """Cleaned records to long pixel rows."""
+    pair = F.explode(F.arrays_zip(F.col("xpix").alias("x"), F.col("ypix").alias("y"))).alias("p")
+    return cleaned.filter("kept").select(*keys, "roi_id", "ord", pair).select(
+        *keys, "roi_id", "ord", F.col("p.y").cast("int").alias("y"), F.col("p.x").cast("int").alias("x")
+    )
+
+
+def _summarise(
+    clean: DataFrame, facts: DataFrame, shapes: DataFrame, keys: Sequence[str]
+) -> DataFrame:
     keys = list(keys)
-    clean, facts = clean_roi_pixels(pixels, shapes, keys)
     kept = facts.filter("kept")
     counts = facts.groupBy(*keys).agg(
         F.count(F.when(F.col("kept"), 1)).alias("roi_count"),
