@@ -22,6 +22,7 @@ from pixelloom.operators.spread import bucketed_row_number, salted_join
 from pixelloom.session import StoredTable
 
 TILE = 1024
+PLANES = 64
 
 
 # --------------------------------------------------------------------- one tile
@@ -37,8 +38,8 @@ def _first_of_component(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             lead = lead[lead]
 
 
-def _component_keys(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
-    """First-pixel key of the 4-connected component of each horizontal run."""
+def _leaders(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """For each horizontal run, the place of the first run of its 4-connected component."""
     order = np.lexsort((x0, y))
     ys, starts, ends = y[order], x0[order], x1[order]
     # runs that touch within a row become one
@@ -57,13 +58,57 @@ def _component_keys(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray
     above = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
     lead = _first_of_component(len(ry), below, above)
     out = np.empty(len(y), dtype=np.int64)
-    out[order] = (ry * span + rs)[lead][run]
+    out[order] = order[first[lead]][run]
     return out
 
 
-def _label_tile(table: pa.Table) -> pa.Table:
+def _tile_roots(table: pa.Table, planes: Sequence[str], tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """Plane number and first-pixel key of each run's component within one tile."""
     y, x0, x1 = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "_x0", "_x1"))
-    return table.append_column("root", pa.array(_component_keys(y, x0, x1), pa.int64()))
+    plane = np.zeros(len(y), dtype=np.int64)
+    for name in planes:
+        values = np.unique(table.column(name).to_numpy(), return_inverse=True)[1]
+        plane = plane * (values.max() + 1) + values
+    plane = np.unique(plane, return_inverse=True)[1]
+    # planes lie one below the other with a free row between, so they never touch
+    lead = _leaders(plane * (tile + 1) + y % tile, x0, x1)
+    return plane, (y[lead] << 32) + x0[lead]
+
+
+def _with_roots(planes: Sequence[str], tile: int):
+    def run(table: pa.Table) -> pa.Table:
+        return table.append_column("root", pa.array(_tile_roots(table, planes, tile)[1], pa.int64()))
+
+    return run
+
+
+def _with_labels(planes: Sequence[str], tile: int, min_size: int | None, max_size: int | None):
+    """Root, area test and numbering in one pass, for images that are one tile."""
+
+    def run(table: pa.Table) -> pa.Table:
+        plane, root = _tile_roots(table, planes, tile)
+        order = np.lexsort((root, plane))
+        p, r = plane[order], root[order]
+        fresh = np.ones(len(r), dtype=bool)
+        fresh[1:] = (p[1:] != p[:-1]) | (r[1:] != r[:-1])
+        part = np.cumsum(fresh) - 1
+        area = np.bincount(part)
+        keep = np.ones(len(area), dtype=bool)
+        if min_size is not None:
+            keep &= area >= min_size
+        if max_size is not None:
+            keep &= area <= max_size
+        owner = p[fresh]
+        upto = np.cumsum(keep)
+        # numbering starts again at each plane
+        starts = np.searchsorted(owner, owner, side="left")
+        number = upto - np.where(starts > 0, upto[starts - 1], 0)
+        label = np.zeros(len(r), dtype=np.int32)
+        label[order] = np.where(keep, number, 0)[part]
+        kept = table.append_column("label", pa.array(label, pa.int32()))
+        return kept.filter(pa.array(label > 0))
+
+    return run
 
 
 # ------------------------------------------------------------------ across tiles
@@ -134,8 +179,42 @@ def _settle(edges: DataFrame, keys: Sequence[str]) -> StoredTable | None:
             return state
 
 
+def _tiled(
+    runs: DataFrame, keys: Sequence[str], planes: Sequence[str], tile: int, whole: bool,
+    max_side: int | None, helper, out: T.StructField,
+) -> DataFrame:
+    """Apply a tile helper to ``(keys, tile)`` groups.
+
+    ``planes`` are keys that separate components but not groups: several thin masks of
+    one image, such as thresholds, are labelled in one call. Their number per group
+    is set so that a group stays within about four tiles' worth of pixels.
+    """
+    groups = [k for k in keys if k not in planes]
+    outside = (F.col("y") >= tile) | (F.col("x1") >= tile)
+    too_big = F.raise_error(F.lit(f"a pixel lies outside max_side={max_side}")).cast("int")
+    prepared = runs.withColumn("_x0", F.col("x0").cast("int")).withColumn("_x1", F.col("x1").cast("int"))
+    if whole:
+        prepared = prepared.withColumn("_ty", F.when(outside, too_big).otherwise(F.lit(0))).withColumn(
+            "_tx", F.lit(0)
+        )
+    else:
+        prepared = prepared.withColumn("_ty", F.floor(F.col("y") / tile).cast("int")).withColumn(
+            "_tx", F.floor(F.col("x0") / tile).cast("int")
+        )
+    side = max_side if whole else tile
+    together = max(1, 4 * TILE * TILE // (side * side))
+    if planes and together < PLANES:
+        share = F.pmod(F.xxhash64(*planes), F.lit(max(1, PLANES // together))).cast("int")
+    else:
+        share = F.lit(0)
+    prepared = prepared.withColumn("_share", share)
+    schema = T.StructType(prepared.schema.fields + [out])
+    return prepared.groupBy(*groups, "_ty", "_tx", "_share").applyInArrow(helper, schema)
+
+
 def label_runs(
-    runs: DataFrame, keys: Sequence[str] = ("session",), tile: int = TILE, max_side: int | None = None
+    runs: DataFrame, keys: Sequence[str] = ("session",), tile: int = TILE,
+    max_side: int | None = None, planes: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``root`` to horizontal runs ``(keys, y, x0, x1, ...)`` of a mask.
 
@@ -145,15 +224,9 @@ def label_runs(
     """
     keys = list(keys)
     whole = max_side is not None and max_side <= tile
-    outside = (F.col("y") >= tile) | (F.col("x1") >= tile)
-    too_big = F.raise_error(F.lit(f"a pixel lies outside max_side={max_side}"))
-    row = F.floor(F.col("y") / tile).cast("int")
-    prepared = runs.withColumn("_x0", F.col("x0").cast("int")).withColumn("_x1", F.col("x1").cast("int"))
-    prepared = prepared.withColumn(
-        "_ty", F.when(outside, too_big.cast("int")).otherwise(F.lit(0)) if whole else row
-    ).withColumn("_tx", F.lit(0) if whole else F.floor(F.col("x0") / tile).cast("int"))
-    schema = T.StructType(prepared.schema.fields + [T.StructField("root", T.LongType())])
-    tiled = prepared.groupBy(*keys, "_ty", "_tx").applyInArrow(_label_tile, schema)
+    tiled = _tiled(
+        runs, keys, planes, tile, whole, max_side, _with_roots(planes, tile), T.StructField("root", T.LongType())
+    )
     if not whole:
         tiled = StoredTable(tiled).df
         settled = _settle(_border_edges(tiled, keys, tile), keys)
@@ -166,12 +239,16 @@ def label_runs(
     return tiled.select(*runs.columns, "root")
 
 
+def _cells(mask: DataFrame) -> DataFrame:
+    return mask.withColumn("x0", F.col("x")).withColumn("x1", F.col("x"))
+
+
 def label_components(
-    mask: DataFrame, keys: Sequence[str] = ("session",), tile: int = TILE, max_side: int | None = None
+    mask: DataFrame, keys: Sequence[str] = ("session",), tile: int = TILE,
+    max_side: int | None = None, planes: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``root`` (first-pixel key of the 4-connected component) to mask pixels."""
-    cells = mask.withColumn("x0", F.col("x")).withColumn("x1", F.col("x"))
-    return label_runs(cells, keys, tile, max_side).drop("x0", "x1")
+    return label_runs(_cells(mask), keys, tile, max_side, planes).drop("x0", "x1")
 
 
 # -------------------------------------------------------------------- ROI labels
@@ -205,9 +282,19 @@ def probability_to_labels(
     tile: int = TILE,
     max_side: int | None = None,
 ) -> DataFrame:
-    """Threshold, label, drop components by area, renumber: ``(keys, y, x, label)``."""
+    """Threshold, label, drop components by area, renumber: ``(keys, y, x, label)``.
+
+    Images that fit one tile are finished in a single shuffle; larger ones are
+    measured and numbered after their tiles are merged.
+    """
     keys = list(keys)
     mask = prob.filter(F.col("probability") >= threshold).select(*keys, "y", "x")
+    if max_side is not None and max_side <= tile:
+        helper = _with_labels((), tile, min_size, max_size)
+        field = T.StructField("label", T.IntegerType())
+        return _tiled(_cells(mask), keys, (), tile, True, max_side, helper, field).select(
+            *keys, "y", "x", "label"
+        )
     rooted = label_components(mask, keys, tile, max_side)
     kept = component_sizes(rooted, keys).filter(within_area(min_size, max_size))
     names = number_components(kept, keys).select(*keys, "root", "label")

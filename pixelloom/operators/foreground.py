@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.functions.scalars import sigmoid
 from pixelloom.operators.intensity import _lines, robust_normalise, top_hat
 from pixelloom.operators.losses import batch_dice
 
@@ -36,43 +35,51 @@ def pixel_features(dense: DataFrame, kernel: int = 5, keys: Sequence[str] = ("se
     return near.join(detail, [*keys, "y", "x"])
 
 
+class ForegroundModel:
+    """A fitted linear model, applied as a plain column expression."""
+
+    def __init__(self, weights: Sequence[float], intercept: float, strength: float, dice: float = 0.0):
+        self.weights, self.intercept = [float(w) for w in weights], float(intercept)
+        self.strength, self.dice = strength, dice
+
+    def logit(self) -> Column:
+        z = F.lit(self.intercept)
+        for name, weight in zip(FEATURES, self.weights):
+            z = z + F.lit(weight) * F.col(name)
+        return z
+
+
 def fit_foreground(
     train: DataFrame, validation: DataFrame, pos_weight: float = 1.0,
     regularisation: Sequence[float] = (0.0, 0.01), max_iter: int = 20,
-) -> tuple[PipelineModel, float, float]:
+) -> ForegroundModel:
     """Fit by weighted cross entropy; keep the strength with the best validation Dice.
 
-    ``train`` and ``validation`` are feature rows with ``session`` and ``mask``. Only
-    the few candidate scores come back to the driver.
+    ``train`` and ``validation`` are stored feature rows with ``session`` and ``mask``.
+    Only the coefficients and the few candidate scores come back to the driver.
     """
-    weighted = train.withColumn("_w", F.when(F.col("mask") > 0, float(pos_weight)).otherwise(1.0))
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
+    weighted = assembler.transform(
+        train.withColumn("_w", F.when(F.col("mask") > 0, float(pos_weight)).otherwise(1.0))
+    ).select("_features", "mask", "_w")
     best = None
     for strength in regularisation:
-        stages = [
-            VectorAssembler(inputCols=list(FEATURES), outputCol="_features"),
-            LogisticRegression(
-                featuresCol="_features", labelCol="mask", weightCol="_w", regParam=float(strength),
-                maxIter=max_iter, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
-            ),
-        ]
-        model = Pipeline(stages=stages).fit(weighted)
-        scored = foreground_logits(model, validation).select(
-            F.col("session").alias("sample"), F.lit(0).alias("channel"), "z", F.col("mask").alias("t")
+        fitted = LogisticRegression(
+            featuresCol="_features", labelCol="mask", weightCol="_w", regParam=float(strength),
+            maxIter=max_iter,
+        ).fit(weighted)
+        model = ForegroundModel(fitted.coefficients, fitted.intercept, float(strength))
+        scored = validation.select(
+            F.col("session").alias("sample"), F.lit(0).alias("channel"),
+            model.logit().alias("z"), F.col("mask").alias("t"),
         )
         dice = batch_dice(scored).first()["pixel_dice"]
-        dice = float("-inf") if dice is None else dice
-        if best is None or dice > best[2]:
-            best = (model, float(strength), dice)
+        model.dice = float("-inf") if dice is None else dice
+        if best is None or model.dice > best.dice:
+            best = model
     return best
 
 
-def foreground_logits(model: PipelineModel, features: DataFrame) -> DataFrame:
-    scored = model.transform(features)
-    return scored.select(*features.columns, vector_to_array("_raw")[1].alias("z"))
-
-
-def foreground_probability(model: PipelineModel, features: DataFrame) -> DataFrame:
+def foreground_probability(model: ForegroundModel, features: DataFrame) -> DataFrame:
     """``(session, y, x, probability)`` ready for labelling."""
-    return model.transform(features).select(
-        "session", "y", "x", vector_to_array("_prob")[1].alias("probability")
-    )
+    return features.select("session", "y", "x", sigmoid(model.logit()).alias("probability"))

@@ -111,7 +111,7 @@ def stable_regions(
     runs = level_runs(image, delta, keys)
     whole = max_side is not None and max_side <= tile
     # read by the area count, the parent lookup and the final selection
-    rooted = StoredTable(label_runs(runs if whole else split_runs(runs, tile), levels, tile, max_side)).df
+    rooted = StoredTable(label_runs(runs if whole else split_runs(runs, tile), levels, tile, max_side, LEVEL)).df
     regions = rooted.groupBy(*levels, "root").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
     linked = StoredTable(regions.join(_parents(rooted, regions, keys), [*levels, "root"], "left")).df
 

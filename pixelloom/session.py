@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -46,19 +46,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class StoredTable:
-    """A DataFrame written once to the shared folder, so its lineage ends there."""
+    """A DataFrame written once to the shared folder, so its lineage ends there.
+
+    ``metrics`` are aggregates read back from the stored columns.
+    """
 
     def __init__(self, df: DataFrame, **metrics):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-        observed = None
-        if metrics:
-            observed = Observation()
-            exprs = [F.coalesce(expr, F.lit(0)).alias(name) for name, expr in metrics.items()]
-            df = df.observe(observed, *exprs)
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
-        self.metrics = observed.get if observed else {}
+        self.metrics: dict[str, int] = {}
+        if metrics:
+            exprs = [F.coalesce(expr, F.lit(0)).alias(name) for name, expr in metrics.items()]
+            self.metrics = self.df.agg(*exprs).first().asDict()
 
     def drop(self) -> None:
         """Remove the files; call only when nothing reads the table any more."""

@@ -9,6 +9,8 @@ from pixelloom.operators import foreground as G
 from pixelloom.operators import intensity as I
 from pixelloom.operators import losses as L
 from pixelloom.operators import patches as P
+from pixelloom.operators.spread import salted_join
+from pixelloom.session import StoredTable
 from pixelloom.workload import shared, views
 from pixelloom.workload.registry import register
 from pixelloom.workload.views import sql
@@ -344,13 +346,14 @@ def foreground_model(spark, sf):
     """Fit on the training sessions, choose on validation, predict the test sessions."""
     pixels, rows = views.pixels(spark, sf), shared.manifest(spark, sf).filter("included")
     marks = pixels.select("session", "y", "x", F.col("target").cast("double").alias("mask"))
-    features = (
+    joined = (
         G.pixel_features(I.densify(pixels, views.pixel_sessions(spark, sf)))
         .join(marks, ["session", "y", "x"], "left").fillna(0.0, ["mask"])
-        .join(rows.select("session", "split"), "session")
-    ).persist()
-    model, strength, dice = G.fit_foreground(
+    )
+    split = salted_join(joined, rows.select("session", "split"), ["session"], ["y"], "inner")
+    features = StoredTable(split).df
+    model = G.fit_foreground(
         features.filter("split = 'train'"), features.filter("split = 'val'"), pos_weight=2.0, max_iter=5
     )
     out = G.foreground_probability(model, features.filter("split = 'test'"))
-    return out.withColumn("strength", F.lit(strength)).withColumn("validation_dice", F.lit(dice))
+    return out.withColumn("strength", F.lit(model.strength)).withColumn("validation_dice", F.lit(model.dice))

@@ -29,20 +29,25 @@ def _animal(key: str):
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct occupied cells with a probability, an intensity and a target flag."""
+    # the names are built after the aggregation, once per pixel
     return (
         table(spark, sf, "lineitem")
         .select(
-            _session("l_suppkey").alias("session"), _animal("l_suppkey").alias("animal"),
+            "l_suppkey",
             (F.col("l_orderkey") % SIDE).cast("int").alias("y"),
             (F.col("l_partkey") % SIDE).cast("int").alias("x"),
             "l_quantity", "l_extendedprice", "l_returnflag",
         )
-        .groupBy("session", "animal", "y", "x")
+        .groupBy("l_suppkey", "y", "x")
         .agg(
             (F.max("l_quantity") / 50.0).alias("probability"),
             F.max("l_extendedprice").alias("value"),
             F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("target"),
         )
+        .select(
+            _session("l_suppkey").alias("session"), _animal("l_suppkey").alias("animal"),
+            "y", "x", "probability", "value", "target",
+        )
     )
 
 
@@ -67,8 +72,8 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
 def pixel_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Shapes of the sessions that own at least one pixel."""
     return (
-        table(spark, sf, "lineitem").select(_session("l_suppkey").alias("session")).distinct()
-        .select("session", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"))
+        table(spark, sf, "lineitem").select("l_suppkey").distinct()
+        .select(_session("l_suppkey").alias("session"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"))
     )
 
 
