@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.scalars import blend, keyed_uniform
 from pixelloom.operators.spread import group_quantiles, salted_join
+from pixelloom.session import StoredTable
 
 
 # ------------------------------------------------------------------ background
@@ -70,17 +71,12 @@ def _with_background(pixels: DataFrame, shapes: DataFrame | None, keys: Sequence
 
 def image_percentiles(
     pixels: DataFrame, probs: dict[str, float], shapes: DataFrame | None = None,
-    keys: Sequence[str] = ("session",), value: str = "value", extremes: bool = False,
+    keys: Sequence[str] = ("session",), value: str = "value",
 ) -> DataFrame:
     """Percentiles per image. With ``shapes`` absent cells count as zeros, which
     needs no dense table: the background is one row with a weight."""
-    keys = list(keys)
     rows = _with_background(pixels, shapes, keys, value)
-    out = group_quantiles(rows, keys, value, probs, weight="_weight")
-    if extremes:
-        ends = rows.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
-        out = out.join(ends, keys)
-    return out
+    return group_quantiles(rows, list(keys), value, probs, weight="_weight")
 
 
 # --------------------------------------------------------------- normalisation
@@ -94,17 +90,18 @@ def _clip01(value: Column) -> Column:
 
 def robust_normalise(
     pixels: DataFrame, low: float = 1, high: float = 99.7, shapes: DataFrame | None = None,
-    keys: Sequence[str] = ("session",), value: str = "value",
+    keys: Sequence[str] = ("session",), value: str = "value", measured: DataFrame | None = None,
 ) -> DataFrame:
     """Scale each image between two percentiles of its finite pixels, clipped to 0..1.
 
     Equal percentiles fall back to the extremes, a constant image gives zeros, NaN
-    stays NaN and infinities go to the ends. Adds ``normalised``.
+    stays NaN and infinities go to the ends. Adds ``normalised``. ``measured`` may name
+    the sparse pixels behind a densified table, so that the percentiles read those and
+    count the background from ``shapes``.
     """
-    bounds = image_percentiles(
-        pixels.filter(is_finite(value)), {"_lo": low / 100.0, "_hi": high / 100.0}, shapes, keys, value,
-        extremes=True,
-    )
+    source = pixels if measured is None else measured
+    probs = {"_lo": low / 100.0, "_hi": high / 100.0, "_min": 0.0, "_max": 1.0}
+    bounds = image_percentiles(source.filter(is_finite(value)), probs, shapes, keys, value)
     flat = F.col("_hi") <= F.col("_lo")
     bounds = bounds.select(
         *keys, F.when(flat, F.col("_min")).otherwise(F.col("_lo")).alias("_lo"),
@@ -365,8 +362,13 @@ def enhance_contrast(
     dense: DataFrame, shapes: DataFrame, kernel: int = 11, clip: float = 2.0,
     keys: Sequence[str] = ("session",), value: str = "value",
 ) -> DataFrame:
-    """Byte scaling, top-hat and tile equalisation."""
-    flat = top_hat(scale_to_bytes(dense, keys, value), kernel, keys, value)
+    """Byte scaling, top-hat and tile equalisation.
+
+    The input is read twice by the scaling and the filtered bytes three times by the
+    equalisation, so both are stored once instead of being worked out again.
+    """
+    dense = StoredTable(dense).df
+    flat = StoredTable(top_hat(scale_to_bytes(dense, keys, value), kernel, keys, value)).df
     return equalise_tiles(flat, shapes, clip, keys, value)
 
 

@@ -33,13 +33,13 @@ def propose_rois(
     fixed ROIs kept ahead of everything found.
 
     ``clip-percentile`` is accepted but has no effect: contrast is always scaled
-    between percentiles 1 and 99. The label image drawn from the regions is stored
-    once because the shape measures read it several times.
+    between percentiles 1 and 99. Tables that later steps read several times are
+    stored once.
     """
     params = {**default_parameters(), **(params or {})}
-    prepared = enhance_contrast(
+    prepared = StoredTable(enhance_contrast(
         median3(dense), shapes, int(params["tophat kernel"]), float(params["clahe clip"])
-    )
+    )).df
     cut = threshold_to_zero(prepared, float(params["MSER threshold"]))
     regions, drawn = candidate_labels(StoredTable(cut).df, params, tile, max_side)
     regions = StoredTable(regions).df

@@ -42,8 +42,7 @@ def image_percentiles(spark, sf):
 
 @register("robust_normalise", sql("select session, y, x, round(v, 6) as normalised from norm", "fx_dense", pct=PCT, norm=NORM))
 def robust_normalise(spark, sf):
-    out = I.robust_normalise(dense(spark, sf))
-    return out.select("session", "y", "x", F.round("normalised", 6).alias("normalised"))
+    return normalised(spark, sf).withColumn("normalised", F.round("normalised", 6))
 
 
 @register("robust_normalise_embeddings", sql("""
@@ -120,6 +119,14 @@ def median_filter(spark, sf):
     return I.median3(dense(spark, sf))
 
 
+def normalised(spark, sf):
+    """Every cell normalised; percentiles read the occupied cells only."""
+    shapes, px = views.pixel_sessions(spark, sf), views.pixels(spark, sf)
+    return I.robust_normalise(I.densify(px, shapes), shapes=shapes, measured=px).select(
+        "session", "y", "x", "normalised"
+    )
+
+
 def _tophat_sql(kernel, source="fx_dense"):
     r = kernel // 2
     cells = [(dy, dx) for dy, w in zip(range(-r, r + 1), I.ellipse_half_widths(kernel)) for dx in range(-w, w + 1)]
@@ -215,7 +222,7 @@ def label_boundary(spark, sf):
     from norm n left join edge e on e.session = n.session and e.y = n.y and e.x = n.x""",
     "fx_dense", "truth", pct=PCT, norm=NORM, edge=EDGE))
 def label_overlay(spark, sf):
-    normal = I.robust_normalise(dense(spark, sf)).select("session", "y", "x", "normalised")
+    normal = normalised(spark, sf)
     out = I.label_overlay(normal, shared.target_labels(spark, sf), views.sessions(spark, sf))
     return out.select("session", "y", "x", *[F.round(c, 6).alias(c) for c in "rgb"])
 
@@ -234,7 +241,7 @@ def error_overlay(spark, sf):
 
     px = views.pixels(spark, sf)
     errors = error_map(px.filter("probability >= 0.25"), px.filter("target = 1"))
-    normal = I.robust_normalise(dense(spark, sf)).select("session", "y", "x", "normalised")
+    normal = normalised(spark, sf)
     out = I.error_overlay(normal, errors)
     return out.select("session", "y", "x", *[F.round(c, 6).alias(c) for c in "rgb"])
 

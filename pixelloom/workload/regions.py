@@ -12,6 +12,7 @@ from pixelloom.operators import scoring as S
 from pixelloom.operators import shape as H
 from pixelloom.plans.prediction import predict_images
 from pixelloom.plans.segmentation import propose_rois
+from pixelloom.session import StoredTable
 from pixelloom.workload import shared, views
 from pixelloom.workload.registry import register
 from pixelloom.workload.views import sql
@@ -69,7 +70,8 @@ LOOSE = {"area min": 6, "solidity min": 0.0, "eccentricity min": 0.75, "aspect r
       and 4 * pi() * g.area / (greatest(p.perimeter, cast(1e-6 as double)) * greatest(p.perimeter, cast(1e-6 as double))) <= 0.8""",
     "pred", **PERIMETER))
 def shape_filter(spark, sf):
-    return H.shape_metrics(shared.predicted_labels(spark, sf)).filter(H.keeps_shape(LOOSE)).select("session", "label")
+    labels = StoredTable(shared.predicted_labels(spark, sf)).df
+    return H.shape_metrics(labels).filter(H.keeps_shape(LOOSE)).select("session", "label")
 
 
 # ----------------------------------------------------------------- stable regions
@@ -97,7 +99,8 @@ def level_runs(spark, sf):
 
 @register("stable_regions")
 def stable_regions(spark, sf):
-    regions, _ = Q.stable_regions(byte_image(spark, sf), 16, 5, 200, 1.2, max_side=SIDE)
+    image = StoredTable(byte_image(spark, sf)).df
+    regions, _ = Q.stable_regions(image, 16, 5, 200, 1.2, max_side=SIDE)
     return regions.select(
         "session", "region", "polarity", "level", key_row("root").alias("first_y"),
         key_column("root").alias("first_x"), "area", "variation",

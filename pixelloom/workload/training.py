@@ -10,7 +10,9 @@ from pixelloom.operators import intensity as I
 from pixelloom.operators import losses as L
 from pixelloom.operators import patches as P
 from pixelloom.operators.spread import salted_join
+from pixelloom.operators.scoring import explode_image
 from pixelloom.session import StoredTable
+from pixelloom.sources import files as D
 from pixelloom.workload import shared, views
 from pixelloom.workload.registry import register
 from pixelloom.workload.views import sql
@@ -140,6 +142,31 @@ def train_val_patches(spark, sf):
     )
 
 
+@register("image_decoding", sql("select vec_id as session, y, x, round(value, 6) as value from fx_images8", "fx_images8"))
+def image_decoding(spark, sf):
+    """Array files and back: embeddings written as array bytes, then decoded."""
+    images = views.table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("session"), F.lit("").alias("path"), F.lit(8).alias("height"),
+        F.lit(8).alias("width"), F.col("embedding").alias("pixels"),
+    )
+    good, _ = D.decode_images(D.encode_images(images))
+    cells = explode_image(good, "pixels", "value")
+    return cells.select(
+        F.col("session").cast("bigint").alias("session"), "y", "x", F.round(F.col("value").cast("double"), 6).alias("value")
+    )
+
+
+@register("shape_decoding", "select vec_id as session, 8 as height, 8 as width from embeddings")
+def shape_decoding(spark, sf):
+    images = views.table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("session"), F.lit("").alias("path"), F.lit(8).alias("height"),
+        F.lit(8).alias("width"), F.col("embedding").alias("pixels"),
+    )
+    return D.decode_shapes(D.encode_images(images)).select(
+        F.col("session").cast("bigint").alias("session"), "height", "width"
+    )
+
+
 @register("patch_dataset")
 def patch_dataset(spark, sf):
     """Both policies end to end, counted: images noisy and augmented for training only."""
