@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelloom.functions.scalars import key_column, key_row, pixel_key
+from pixelloom.functions.scalars import key_row
 from pixelloom.operators.spread import bucketed_row_number, salted_join
 from pixelloom.session import StoredTable
 
@@ -335,11 +335,6 @@ def compact_labels(labels: DataFrame, keys: Sequence[str] = ("session",)) -> Dat
     )
 
 
-def first_pixel(root: str = "root"):
-    """Row and column of a component's first pixel."""
-    return key_row(root).alias("first_y"), key_column(root).alias("first_x")
-
-
 def pack_rois(labels: DataFrame, keys: Sequence[str] = ("session",), rows_per_part: int = TILE) -> DataFrame:
     """ROI records with pixels in row-major order.
 
@@ -372,7 +367,3 @@ def probability_to_rois(prob: DataFrame, **options) -> tuple[DataFrame, DataFram
     """Packed ROIs and the labels they come from."""
     labels = probability_to_labels(prob, **options)
     return pack_rois(labels, options.get("keys", ("session",))), labels
-
-
-def mask_key(df: DataFrame) -> DataFrame:
-    return df.withColumn("pixel", pixel_key())

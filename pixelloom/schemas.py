@@ -15,6 +15,3 @@ MANIFEST_KINDS = {
     "max_roi_area_px": "bigint", "invalid_roi_entries": "bigint", "included": "boolean",
 }
 MANIFEST_TEXT = T.StructType([T.StructField(c, T.StringType()) for c in MANIFEST_COLUMNS])
-
-IMAGES = "session string, path string, height int, width int, dtype string, pixels array<float>"
-RAW_ROIS = "session string, path string, roi_id int, ord int, xpix array<string>, ypix array<string>"
