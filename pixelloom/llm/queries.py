@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import packing, token_files
+from pixelloom.llm import licenses, mixing, packing, token_files
 from pixelloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,11 +25,21 @@ def query(check: str | None = None):
     return add
 
 
+@query(licenses.check_sql())
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 @query()
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(read(spark, sf_dir, "documents"))
 
 
+@query(mixing.CHECK)
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
