@@ -50,7 +50,9 @@ def scan_words(text: str = "text") -> Column:
     ``lower`` turns two other characters into ASCII letters; they are replaced by a letter that
     stays as it is, which keeps words apart from phrases as they were.
     """
-    plain = F.replace(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("K"), F.lit("ß")), F.lit("İ"), F.lit("ß"))
+    plain = F.coalesce(F.col(text), F.lit(""))
+    for upper in ("\u212a", "\u0130"):  # Kelvin sign, dotted capital I
+        plain = F.replace(plain, F.lit(upper), F.lit("\u00df"))
     return F.regexp_extract_all(F.lower(plain), F.lit(LICENSE_WORD), F.lit(0))
 
 
