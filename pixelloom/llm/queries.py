@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import language, licenses, mixing, near_vectors, nearest, packing, pii, token_files, urls
+from pixelloom.llm import language, licenses, mixing, near_documents, near_vectors, nearest, packing, pii, token_files, urls
 from pixelloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+@query()
+def op2_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents.near_documents(read(spark, sf_dir, "documents"))
+
+
 @query()
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(read(spark, sf_dir, "documents"))
