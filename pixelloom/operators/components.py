@@ -22,6 +22,7 @@ from pixelloom.operators.spread import bucketed_row_number, salted_join
 from pixelloom.session import StoredTable
 
 TILE = 1024
+PARTS_ACROSS = 1 << 15
 PLANES = 64
 
 
@@ -338,11 +339,13 @@ def compact_labels(labels: DataFrame, keys: Sequence[str] = ("session",)) -> Dat
 def pack_rois(labels: DataFrame, keys: Sequence[str] = ("session",), rows_per_part: int = TILE) -> DataFrame:
     """ROI records with pixels in row-major order.
 
-    A record covers at most ``rows_per_part`` image rows; a taller ROI continues in
-    part 1, 2, ... so that no record has to hold a whole giant ROI. Reading the parts
-    in order gives the full pixel lists.
+    A record covers a square of ``rows_per_part`` image rows and columns at most, so none
+    has to hold a giant ROI; an ROI that crosses squares continues in further parts, one
+    per square. ``part`` numbers the squares by row, then column. All that counts or
+    measures ROIs takes the parts of one together, whatever their size.
     """
-    part = F.floor(F.col("y") / rows_per_part).cast("int").alias("part")
+    down, across = F.floor(F.col("y") / rows_per_part), F.floor(F.col("x") / rows_per_part)
+    part = (down * PARTS_ACROSS + across).cast("int").alias("part")
     packed = (
         labels.groupBy(*keys, F.col("label").alias("roi_id"), part)
         .agg(F.array_sort(F.collect_list(F.struct("y", "x"))).alias("p"))

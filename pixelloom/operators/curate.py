@@ -85,7 +85,17 @@ def replace_selection(selected: DataFrame, picked: DataFrame) -> DataFrame:
     return selected.join(clicked, "session", "left_anti").unionByName(picked.select(*ID).distinct())
 
 
+def clear_selection(selected: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Nothing selected, in ``sessions(session)`` or everywhere."""
+    return _none(selected) if sessions is None else selected.join(sessions, "session", "left_anti")
+
+
 # ------------------------------------------------------------------- fixed marks
+def clear_fixed(fixed: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """No marks, in ``sessions(session)`` or everywhere."""
+    return clear_selection(fixed, sessions)
+
+
 def fix_selected(labels: DataFrame, selected: DataFrame, fixed: DataFrame) -> DataFrame:
     return _either(fixed, _both(selected, label_ids(labels)))
 
@@ -167,9 +177,9 @@ def rebuild(prob: DataFrame, threshold: float, min_size: int, **options) -> tupl
 
 
 # --------------------------------------------------------------------- versions
-def stack_versions(states: list[Curation]) -> Curation:
-    """Number snapshots 0, 1, ... and keep the newest ``UNDO_DEPTH`` plus the current."""
-    first = max(0, len(states) - 1 - UNDO_DEPTH)
+def stack_versions(states: list[Curation], depth: int | None = UNDO_DEPTH) -> Curation:
+    """Number snapshots 0, 1, ... and keep the newest ``depth`` (None: all) plus the current."""
+    first = 0 if depth is None else max(0, len(states) - 1 - depth)
     parts = [
         [df.withColumn("version", F.lit(v)) for df in (s.labels, s.selected, s.fixed)]
         for v, s in enumerate(states) if v >= first

@@ -87,7 +87,7 @@ def segmentation_loss(
         alpha, beta = config.get("tversky_alpha", 0.3), config.get("tversky_beta", 0.7)
         region, name = soft_tversky(scored, batch, alpha, beta), "tversky_loss"
     else:
-        raise ValueError(f"unknown loss mode: {mode}")
+        raise ValueError(f"a loss is bce_dice or bce_tversky, not {mode}")
     # with no batch key both sides are a single row
     on = list(batch) or ["_one"]
     if not batch:

@@ -136,7 +136,7 @@ def require_rows(manifest: DataFrame, split: str) -> DataFrame:
     """The rows of a training split; an empty split is an error."""
     rows = select_rows(manifest, included_only=True, split=split)
     if rows.isEmpty():
-        raise ValueError(f"no rows found for split {split}")
+        raise ValueError(f"split {split!r} holds no included session")
     return rows
 
 

@@ -108,7 +108,7 @@ def resolve_operating_point(
     kept = checkpoints.select(
         "checkpoint", *[F.col(c).alias(f"_c_{c}") for c in ("threshold", "min_size", "max_size")]
     )
-    unknown = F.raise_error(F.concat(F.lit("model not found in registry: "), F.col("model")))
+    unknown = F.raise_error(F.concat(F.lit("no registry entry is named "), F.col("model")))
     path = F.coalesce("checkpoint", F.when(F.col("_known"), F.col("_r_checkpoint")).otherwise(unknown.cast("string")))
     joined = asked.join(named, "model", "left").withColumn("checkpoint", path).join(kept, "checkpoint", "left")
     return joined.select(

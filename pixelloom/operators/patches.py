@@ -66,16 +66,20 @@ def sample_crops(
     )
 
 
-def crop(pixels: DataFrame, crops: DataFrame) -> DataFrame:
+def crop(pixels: DataFrame, crops: DataFrame, block: int = 256) -> DataFrame:
     """Pixels of each patch in patch coordinates.
 
-    A patch is spread over its scanlines and meets the pixels scanline by scanline.
+    A patch is spread over its scanlines, and each of them over the ``block`` wide pieces
+    it crosses, two for a patch no wider than a piece. There it meets the pixels.
     """
+    right = F.col("left") + F.col("w") - 1
+    pieces = F.sequence(F.floor(F.col("left") / block), F.floor(right / block))
     lines = crops.withColumn(
         "y", F.explode(F.sequence(F.col("top"), F.col("top") + F.col("h") - 1))
-    )
+    ).withColumn("_piece", F.explode(pieces))
     rest = [c for c in pixels.columns if c not in ("session", "y", "x")]
-    met = pixels.join(lines, ["session", "y"]).filter(
+    placed = pixels.withColumn("_piece", F.floor(F.col("x") / block))
+    met = placed.join(lines, ["session", "y", "_piece"]).filter(
         (F.col("x") >= F.col("left")) & (F.col("x") < F.col("left") + F.col("w"))
     )
     return met.select(
@@ -146,7 +150,7 @@ def make_targets(patches: DataFrame, mode: str = "foreground", support_radius: i
     if mode == "foreground":
         return first
     if mode != "foreground_support":
-        raise ValueError(f"unknown target mode: {mode}")
+        raise ValueError(f"targets are foreground or foreground_support, not {mode}")
     sides = patches.groupBy(*PATCH).agg(F.max("h").alias("height"), F.max("w").alias("width"))
     wide = dilate(mask, sides, support_radius, keys=PATCH)
     return first.unionByName(

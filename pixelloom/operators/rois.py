@@ -32,7 +32,8 @@ def clean_rois(raw: DataFrame, shapes: DataFrame, keys: Sequence[str] = ("sessio
     Record-local array work: no shuffle beyond attaching the image shape. Every
     record is returned with its ``invalid`` count and a ``kept`` flag; dropped
     records have empty arrays. One record can count twice (unequal lengths and an
-    out-of-bounds pixel).
+    out-of-bounds pixel). Records that are parts of an ROI keep their ``part`` and tell
+    the faults apart, for :func:`whole_rois`.
     """
     keys = list(keys)
     cast = salted_join(
@@ -55,15 +56,40 @@ def clean_rois(raw: DataFrame, shapes: DataFrame, keys: Sequence[str] = ("sessio
         .withColumn("_pairs", F.when(F.col("_broken"), empty).otherwise(pairs))
         .withColumn("_in", inside)
     )
-    invalid = F.when(F.col("_broken"), F.lit(1)).otherwise(
-        (F.size("_cx") != F.size("_cy")).cast("int") + (F.size("_in") < F.size("_pairs")).cast("int")
+    faults = F.struct(
+        F.col("_broken").cast("int").alias("broken"),
+        (~F.col("_broken") & (F.size("_cx") != F.size("_cy"))).cast("int").alias("uneven"),
+        (~F.col("_broken") & (F.size("_in") < F.size("_pairs"))).cast("int").alias("outside"),
     )
+    out = out.withColumn("_faults", faults)
+    parts = [F.col("part"), F.col("_faults").alias("faults")] if "part" in raw.columns else []
     return out.select(
-        *keys, "roi_id", "ord", invalid.alias("invalid"), (F.size("_in") > 0).alias("kept"),
-        F.col("_in.x").alias("xpix"), F.col("_in.y").alias("ypix"),
+        *keys, "roi_id", "ord", _fault_count("_faults").alias("invalid"), (F.size("_in") > 0).alias("kept"),
+        F.col("_in.x").alias("xpix"), F.col("_in.y").alias("ypix"), *parts,
     )
 
 
+def _fault_count(faults: str) -> Column:
+    """A broken record counts once, whatever else it is."""
+    f = F.col(faults)
+    return F.when(f["broken"] > 0, F.lit(1)).otherwise(f["uneven"] + f["outside"])
+
+
+def whole_rois(cleaned: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
+    """``area``, ``invalid`` and ``kept`` of each ROI of cleaned records, its parts taken together.
+
+    A fault of one rule counts once per ROI, however many of its parts show it.
+    """
+    area = F.size("xpix").cast("bigint")
+    if "part" not in cleaned.columns:
+        return cleaned.select(*keys, "roi_id", "ord", area.alias("area"), "invalid", "kept")
+    rules = [F.max(f"faults.{n}").alias(n) for n in ("broken", "uneven", "outside")]
+    whole = cleaned.groupBy(*keys, "roi_id", "ord").agg(
+        F.sum(area).alias("area"), F.max("kept").alias("kept"), F.struct(*rules).alias("faults")
+    )
+    return whole.select(*keys, "roi_id", "ord", "area", _fault_count("faults").alias("invalid"), "kept")
+
+
 def clean_fixed_rois(raw: DataFrame, shapes: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
     """Forgiving cleaning of fixed ROIs: missing lists are empty, nothing is counted,
     and an entry that is not a number stops the job."""
@@ -156,10 +182,7 @@ def summarise_records(
     cleaned: DataFrame, shapes: DataFrame, keys: Sequence[str] = ("session",)
 ) -> DataFrame:
     """The same summary from the records :func:`clean_rois` returns."""
-    facts = cleaned.select(
-        *keys, "roi_id", "ord", F.size("xpix").cast("bigint").alias("area"), "invalid", "kept"
-    )
-    return _summarise(record_pixels(cleaned, keys), facts, shapes, keys)
+    return _summarise(record_pixels(cleaned, keys), whole_rois(cleaned, keys), shapes, keys)
 
 
 def record_pixels(cleaned: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:

@@ -9,24 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.operators.intensity import robust_normalise_arrays
+
 Score = Callable[[np.ndarray], np.ndarray]
 
 # fixed values: the four flip views as (vertical, horizontal)
 VIEWS = ((False, False), (True, False), (False, True), (True, True))
 
 
-def _scale(image: np.ndarray, low: float, high: float) -> np.ndarray:
-    finite = image[np.isfinite(image)]
-    if finite.size == 0:
-        return np.zeros_like(image)
-    lo, hi = np.percentile(finite, [low, high])
-    if hi <= lo:
-        lo, hi = finite.min(), finite.max()
-    if hi <= lo:
-        return np.zeros_like(image)
-    return np.clip((image - lo) / (hi - lo), 0, 1)
-
-
 def _score_views(score: Score, images: np.ndarray, tta: bool) -> np.ndarray:
     if not tta:
         return score(images)
@@ -57,9 +47,7 @@ def score_images(
                 shape = (int(same["height"].iloc[0]), int(same["width"].iloc[0]))
                 for at in range(0, len(same), batch):
                     part = same.iloc[at:at + batch]
-                    stack = np.stack([
-                        _scale(np.asarray(p, dtype=float).reshape(shape), *percentiles) for p in part["pixels"]
-                    ])
+                    stack = np.stack([np.asarray(p, dtype=float).reshape(shape) for p in part["pixels"]])
                     scored = _score_views(score, stack, tta)
                     yield part[[*keys, "height", "width"]].assign(
                         probability=[p.ravel() for p in scored]
@@ -67,7 +55,8 @@ def score_images(
 
     kinds = dict(images.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", height int, width int, probability array<double>"
-    return images.select(*keys, "height", "width", "pixels").mapInPandas(run, schema)
+    normal = robust_normalise_arrays(images, *percentiles)
+    return normal.select(*keys, "height", "width", "pixels").mapInPandas(run, schema)
 
 
 def explode_image(images: DataFrame, column: str, out: str, keys: Sequence[str] = ("session",)) -> DataFrame:

@@ -63,20 +63,36 @@ def bucketed_row_number(
     )
 
 
+def _ordered_bits(value: Column, per_octave: int = 256) -> Column:
+    """A whole number that never falls as the value rises: sign, exponent and first mantissa bits.
+
+    Rounding of the logarithm can only move a value next to a power of two by one step, in
+    the direction that keeps the order.
+    """
+    size = F.abs(value)
+    octave = F.greatest(F.floor(F.log2(size)), F.lit(-1022))
+    step = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * per_octave)
+    step = F.greatest(F.lit(0), F.least(F.lit(per_octave - 1), step))
+    number = (octave + 1024) * per_octave + step + 1
+    return F.when(value == 0, F.lit(0)).when(value > 0, number).otherwise(-number).cast("int")
+
+
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: Mapping[str, float],
     weight: str | None = None,
-    max_buckets: int = 65536,
+    per_bucket: int = 256,
 ) -> DataFrame:
     """Exact percentiles per key with linear interpolation between neighbours.
 
     1. equal values collapse to ``(key, value, count)`` before the shuffle;
-    2. values fall into equal-width buckets between the key's extremes, as many as
-       its number of values calls for, and only bucket *counts* are accumulated;
-    3. the few buckets holding a wanted rank are ordered, each on its own.
+    2. values are counted by the leading bits of the number, so how far the extremes lie
+       apart does not matter;
+    3. the few buckets that hold a wanted rank are split once more, evenly between their
+       own extremes, into as many as their number of values calls for;
+    4. of these the ones that hold a wanted rank are ordered, each on its own.
 
     ``weight`` counts a row several times (used for the implicit background).
     NaN and null values must be removed by the caller.
@@ -88,18 +104,7 @@ def group_quantiles(
         .groupBy(*keys, "_v")
         .agg(counted.alias("_c"))
         .filter("_c > 0")
-    )
-    bounds = values.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_d")
-    )
-    n_buckets = F.greatest(F.lit(1), F.least(F.lit(max_buckets), F.floor(F.col("_d") / 256)))
-    # halving first keeps the width finite for the widest doubles
-    share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-    bucket = F.when(
-        F.col("_hi") > F.col("_lo"), F.least(F.floor(share * n_buckets), n_buckets - 1)
-    ).otherwise(F.lit(0))
-    placed = salted_join(values, bounds, keys, ["_v"], "inner").select(
-        *keys, "_v", "_c", bucket.cast("int").alias("_b")
+        .withColumn("_b1", _ordered_bits(F.col("_v")))
     )
 
     def rank(p: float) -> Column:
@@ -108,27 +113,40 @@ def group_quantiles(
     def hits(upper: Column) -> Column:
         return F.filter("_ranks", lambda k: (k >= upper - F.col("_c")) & (k < upper))
 
-    whole = Window.partitionBy(*keys)
-    upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    def upto(by: list[str], order: str) -> Column:
+        line = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return F.sum("_c").over(line)
+
     wanted = [f(rank(p)).cast("bigint") for p in probs.values() for f in (F.floor, F.ceil)]
-    chosen = (
-        placed.groupBy(*keys, "_b")
-        .agg(F.sum("_c").alias("_c"))
-        .withColumn("_n", F.sum("_c").over(whole))
-        .withColumn("_upper", F.sum("_c").over(upto))
+    coarse = (
+        values.groupBy(*keys, "_b1")
+        .agg(F.sum("_c").alias("_c"), F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+        .withColumn("_upper", upto(keys, "_b1"))
         .withColumn("_ranks", F.array_distinct(F.array(*wanted)))
         .withColumn("_ranks", hits(F.col("_upper")))
         .filter(F.size("_ranks") > 0)
-        .select(*keys, "_b", "_n", "_ranks", (F.col("_upper") - F.col("_c")).alias("_base"))
+        .select(*keys, "_b1", "_n", "_d", "_lo", "_hi", "_ranks", (F.col("_upper") - F.col("_c")).alias("_base"))
     )
-    inside = (
-        Window.partitionBy(*keys, "_b")
-        .orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n_buckets = F.greatest(F.lit(1), F.floor(F.col("_d") / per_bucket))
+    # halving first keeps the width finite for the widest doubles
+    share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+    bucket = F.when(
+        F.col("_hi") > F.col("_lo"), F.least(F.floor(share * n_buckets), n_buckets - 1)
+    ).otherwise(F.lit(0))
+    placed = salted_join(values, coarse, [*keys, "_b1"], ["_v"], "inner").withColumn("_b2", bucket.cast("bigint"))
+    facts = [F.first(c).alias(c) for c in ("_n", "_ranks", "_base")]
+    fine = (
+        placed.groupBy(*keys, "_b1", "_b2")
+        .agg(F.sum("_c").alias("_c"), *facts)
+        .withColumn("_upper", upto([*keys, "_b1"], "_b2") + F.col("_base"))
+        .withColumn("_ranks", hits(F.col("_upper")))
+        .filter(F.size("_ranks") > 0)
+        .select(*keys, "_b1", "_b2", "_n", "_ranks", (F.col("_upper") - F.col("_c")).alias("_base"))
     )
     found = (
-        placed.join(chosen, [*keys, "_b"])
-        .withColumn("_upper", F.sum("_c").over(inside) + F.col("_base"))
+        placed.select(*keys, "_b1", "_b2", "_v", "_c").join(fine, [*keys, "_b1", "_b2"])
+        .withColumn("_upper", upto([*keys, "_b1", "_b2"], "_v") + F.col("_base"))
         .select(*keys, "_n", "_v", F.explode(hits(F.col("_upper"))).alias("_k"))
     )
     picks = []

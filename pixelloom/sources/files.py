@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FOLDER = "processed_data"
@@ -68,11 +68,15 @@ def _decoded(content: bytes) -> tuple[np.ndarray | None, str | None]:
         image = np.load(io.BytesIO(content), allow_pickle=False)
     except Exception as error:  # a bad file becomes a quarantine row
         return None, f"unreadable array: {error}"
-    if image.ndim > 2:
-        image = np.squeeze(image)
-    if image.ndim != 2:
-        return None, f"expected a 2D image, got shape {image.shape}"
-    return image, None
+    sides = _sides(image.shape)
+    if len(sides) != 2:
+        return None, f"not an image of two sides: {image.shape}"
+    return image.reshape(sides), None
+
+
+def _sides(shape: Sequence[int]) -> list[int]:
+    """The sides that count: of more than two, those of length one do not."""
+    return [n for n in shape if n != 1] if len(shape) > 2 else list(shape)
 
 
 def _image_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,13 +111,21 @@ def _shape_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             version = np.lib.format.read_magic(stream)
             read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
             shapes.append([n for n in read(stream)[0]])
-        two = [[n for n in s if n != 1] if len(s) > 2 else s for s in shapes]
+        two = [_sides(s) for s in shapes]
         yield frame[["session", "path"]].assign(height=[s[0] for s in two], width=[s[1] for s in two])
 
 
 def decode_shapes(files: DataFrame) -> DataFrame:
-    """Image shapes from array headers: only the first kilobytes reach Python."""
-    heads = files.select("session", "path", F.substring("content", 1, 4096).alias("head"))
+    """Image shapes from array headers: the header says its length, and only it reaches Python."""
+    # fixed value: after six bytes of name and two of version the length, little-endian, in two bytes or four
+
+    def little(first: int, n: int) -> Column:
+        parts = [F.hex(F.substring("content", first + k, 1)) for k in reversed(range(n))]
+        return F.conv(F.concat(*parts), 16, 10).cast("int")
+
+    old = F.hex(F.substring("content", 7, 1)) == "01"
+    length = F.when(old, little(9, 2) + 10).otherwise(little(9, 4) + 12)
+    heads = files.select("session", "path", F.substring("content", F.lit(1), length).alias("head"))
     return heads.mapInPandas(_shape_rows, "session string, path string, height int, width int")
 
 
@@ -125,7 +137,7 @@ def _roi_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for session, path, content in zip(frame["session"], frame["path"], frame["content"]):
             stored = np.load(io.BytesIO(content), allow_pickle=True).item()
             if not isinstance(stored, dict):
-                raise ValueError(f"not an ROI dict: {path}")
+                raise ValueError(f"{path} holds no dictionary of ROIs")
             yield pd.DataFrame({
                 "session": session, "path": path, "roi_id": [int(i) for i in stored],
                 "ord": list(range(1, len(stored) + 1)),
@@ -165,9 +177,12 @@ def encode_images(images: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------- ROI storage
+ROIS_PER_FILE = 4096
+
+
 def write_rois(rois: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Packed ROI records, one folder per session."""
-    rois.write.mode(mode).partitionBy("session").parquet(path)
+    """Packed ROI records, one folder per session, each written by few tasks."""
+    rois.repartition("session", F.floor(F.col("roi_id") / ROIS_PER_FILE)).write.mode(mode).partitionBy("session").parquet(path)
 
 
 def read_rois(spark: SparkSession, path: str) -> DataFrame:

@@ -189,9 +189,9 @@ def intensity_histogram(spark, sf):
 @register("dilate_mask", sql("""
     select distinct session, cast(y + dy as int) as y, cast(x + dx as int) as x
     from fx_pixels cross join (select range as dy from range(-3, 4)) cross join (select range as dx from range(-3, 4))
-    where target = 1 and value > 80000 and abs(dy) + abs(dx) <= 3 and y + dy between 0 and 31 and x + dx between 0 and 31""", *PIX))
+    where target = 1 and abs(dy) + abs(dx) <= 3 and y + dy between 0 and 31 and x + dx between 0 and 31""", *PIX))
 def dilate_mask(spark, sf):
-    mask = views.pixels(spark, sf).filter("target = 1 and value > 80000")
+    mask = views.pixels(spark, sf).filter("target = 1")
     return I.dilate(mask, views.sessions(spark, sf), 3)
 
 
@@ -217,7 +217,7 @@ def label_boundary(spark, sf):
 @register("label_overlay", sql("""
     select n.session, n.y, n.x, """ + ", ".join(
     f"""round(case when e.boundary then {c} when e.label is not null then 0.45 * n.v + cast(0.55 as double) *
-        (0.1 + cast(0.9 as double) * (cast(concat('0x', substr(md5(concat('20260512|', e.label, '|{i}')), 1, 8)) as bigint) / 4294967296.0))
+        (0.1 + cast(0.9 as double) * (cast(concat('0x', substr(md5(concat('{I.PALETTE_SEED}|', e.label, '|{i}')), 1, 8)) as bigint) / 4294967296.0))
         else n.v end, 6) as {'rgb'[i]}""" for i, c in enumerate(I.BOUNDARY_COLOUR)) + """
     from norm n left join edge e on e.session = n.session and e.y = n.y and e.x = n.x""",
     "fx_dense", "truth", pct=PCT, norm=NORM, edge=EDGE))

@@ -119,9 +119,7 @@ def roi_mask_union(spark, sf):
     return R.roi_mask(clean)
 
 
-@register(
-    "roi_summary",
-    sql("""
+ROI_SUMMARY = sql("""
     select s.session, s.height, s.width, coalesce(a.roi_count, 0) as roi_count,
            coalesce(m.positive_pixels, 0) as positive_pixels,
            round(coalesce(m.positive_pixels, 0) / 1024.0, 6) as positive_fraction,
@@ -137,13 +135,26 @@ def roi_mask_union(spark, sf):
                             max(case when x < 32 then 0 else 1 end) as bad
                      from fx_roi_pixels group by 1, 2) group by 1) a on a.session = s.session
     left join (select session, count(*) as positive_pixels from truth group by 1) m on m.session = s.session
-    """, "truth", "fx_sessions"),
-)
+    """, "truth", "fx_sessions")
+
+
+@register("roi_summary", ROI_SUMMARY)
 def roi_summary(spark, sf):
     out = R.roi_summary(views.roi_pixels(spark, sf), views.sessions(spark, sf))
     return out.withColumn("positive_fraction", F.round("positive_fraction", 6))
 
 
+@register("roi_summary_of_parts", ROI_SUMMARY)
+def roi_summary_of_parts(spark, sf):
+    """The same from records cut into small parts: their size must not show."""
+    drawn = views.roi_pixels(spark, sf).withColumnRenamed("roi_id", "label")
+    parts = C.pack_rois(drawn, rows_per_part=5)
+    text = parts.withColumn("xpix", F.col("xpix").cast("array<string>")).withColumn("ypix", F.col("ypix").cast("array<string>"))
+    shapes = views.sessions(spark, sf)
+    out = R.summarise_records(R.clean_rois(text, shapes), shapes)
+    return out.withColumn("positive_fraction", F.round("positive_fraction", 6))
+
+
 @register(
     "roi_pack",
     sql("""

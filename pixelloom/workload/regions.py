@@ -56,19 +56,37 @@ def region_perimeter(spark, sf):
     return H.perimeter(shared.predicted_labels(spark, sf)).withColumn("perimeter", F.round("perimeter", 6))
 
 
-@register("region_solidity")
+# the hull's edge at a row is the outermost line between two row ends on either side
+HULL = {
+    "spans": "select session, label, y, min(x) as lo, max(x) as hi, count(*) as n from pred group by 1, 2, 3",
+    "ends": """select session, label, cast(y as double) as py, lo - cast(0.5 as double) as l, hi + cast(0.5 as double) as r from spans union all
+               select session, label, y + d, lo, hi from spans cross join (select cast(0.5 as double) as d union all select cast(-0.5 as double)) v""",
+    "edge": """select s.session, s.label, s.y,
+               min(case when p.py = q.py then p.l else p.l + (q.l - p.l) * (s.y - p.py) / (q.py - p.py) end) as l,
+               max(case when p.py = q.py then p.r else p.r + (q.r - p.r) * (s.y - p.py) / (q.py - p.py) end) as r
+               from spans s join ends p on p.session = s.session and p.label = s.label and p.py <= s.y
+               join ends q on q.session = s.session and q.label = s.label and q.py >= s.y group by 1, 2, 3""",
+    "solid": """select s.session, s.label, cast(sum(n) as bigint) as area,
+                cast(sum(floor(r + cast(1e-9 as double)) - ceil(l - cast(1e-9 as double)) + 1) as bigint) as convex_area
+                from spans s join edge e on e.session = s.session and e.label = s.label and e.y = s.y group by 1, 2""",
+}
+
+
+@register("region_solidity", sql(
+    "select session, label, convex_area, cast(area as double) / convex_area as solidity from solid", "pred", **HULL))
 def region_solidity(spark, sf):
     return H.solidity(shared.predicted_labels(spark, sf))
 
 
-LOOSE = {"area min": 6, "solidity min": 0.0, "eccentricity min": 0.75, "aspect ratio min": 1.2, "thinness max": 0.8}
+LOOSE = {"area min": 6, "solidity min": 0.6, "eccentricity min": 0.75, "aspect ratio min": 1.2, "thinness max": 0.8}
 
 
 @register("shape_filter", sql(f"""
     select g.session, g.label from ({GEOMETRY}) g join peri p on p.session = g.session and p.label = g.label
-    where g.area >= 6 and g.ecc >= 0.75 and g.aspect >= 1.2
+    join solid h on h.session = g.session and h.label = g.label
+    where g.area >= 6 and g.ecc >= 0.75 and g.aspect >= 1.2 and cast(h.area as double) / h.convex_area >= 0.6
       and 4 * pi() * g.area / (greatest(p.perimeter, cast(1e-6 as double)) * greatest(p.perimeter, cast(1e-6 as double))) <= 0.8""",
-    "pred", **PERIMETER))
+    "pred", **PERIMETER, **HULL))
 def shape_filter(spark, sf):
     labels = StoredTable(shared.predicted_labels(spark, sf)).df
     return H.shape_metrics(labels).filter(H.keeps_shape(LOOSE)).select("session", "label")
@@ -114,7 +132,7 @@ SMALL = {"MSER min area": 5, "MSER max area": 200, "area min": 5, "MSER threshol
 def propose_rois_query(spark, sf):
     """The whole model-free route with two target ROIs of each session held fixed."""
     pixels, shapes = views.pixels(spark, sf), views.pixel_sessions(spark, sf)
-    fixed = shared.target_labels(spark, sf).filter("label = 2 and y < 8").withColumnRenamed("label", "roi_id")
+    fixed = shared.target_labels(spark, sf).filter("label = 2").withColumnRenamed("label", "roi_id")
     out = propose_rois(I.densify(pixels, shapes), shapes, SMALL, fixed, max_side=SIDE)
     return out.rois.groupBy("session", "label", "is_fixed").agg(F.count("*").alias("area"))
 
@@ -190,7 +208,7 @@ def flip_averaged_expression(spark, sf):
            join m8 f on f.session = r.session and f.y = r.y + d.dy and f.x = r.x + d.dx where r.root < f.y * 100 + f.x"""))
 def prediction_bundle(spark, sf):
     out = predict_images(array_images(spark, sf), ramp_model, threshold=0.5, min_size=3, max_side=8)
-    areas = out.rois.select("session", "roi_id", F.size("xpix").cast("bigint").alias("area"))
+    areas = out.rois.groupBy("session", "roi_id").agg(F.sum(F.size("xpix")).cast("bigint").alias("area"))
     return areas.join(out.parameters.select("session", "area_min"), "session").withColumn(
         "threshold", F.lit(out.threshold)
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pixelloom.functions.scalars import sigmoid
@@ -30,7 +32,7 @@ def _u(seed, tag):
 def _crops_sql(seed=7, epochs=EPOCHS, per_image=PER_IMAGE, source="fx_sessions"):
     eps = ", ".join(f"({e})" for e in epochs)
     return {
-        "mk": "select distinct session, y, x from fx_pixels where target = 1 and value > 60000",
+        "mk": "select distinct session, y, x from fx_pixels where target = 1",
         "rk": "select *, row_number() over (partition by session order by y, x) - 1 as pick, count(*) over (partition by session) as fg from mk",
         "plan": f"select session, e as epoch, cast(range as int) as patch from {source} cross join (values {eps}) v(e) cross join range(0, {per_image})",
         "pl": f"""select p.*, case when f.fg > 0 and {_u(seed, 'kind')} < 0.75 then cast(floor({_u(seed, 'pixel')} * f.fg) as bigint) end as pick
@@ -50,8 +52,16 @@ CUT = """select c.session, c.epoch, c.patch, d.y - c.top as py, d.x - c."left" a
          left join fx_pixels p on p.session = d.session and p.y = d.y and p.x = d.x"""
 
 
+def _named(prefix, steps):
+    """The steps up to the cut patches, with ``prefix`` before each step's name."""
+    steps = {**steps, "cut": CUT}
+    for name in steps:
+        steps = {k: re.sub(rf"(from|join) {name}\b", rf"\1 {prefix}{name}", v) for k, v in steps.items()}
+    return steps
+
+
 def mask(spark, sf):
-    return views.pixels(spark, sf).filter("target = 1 and value > 60000").select("session", "y", "x")
+    return views.pixels(spark, sf).filter("target = 1").select("session", "y", "x")
 
 
 def image_and_mask(spark, sf):
@@ -126,19 +136,24 @@ def patch_targets(spark, sf):
 
 
 @register("train_val_patches", sql("""
-    select s.split, count(distinct c.session) as sessions, count(*) as patches,
-           cast(sum(c.top) as bigint) as top_sum, cast(sum(c."left") as bigint) as left_sum
-    from crops c join (select session, split from mani where included) s on s.session = c.session
-    where s.split = 'val' group by 1""", "fx_pixels", "fx_sessions",
-    **_crops_sql(1007, EPOCHS, 2), mani=shared.MANIFEST_SQL))
+    select s.split, count(distinct c.session) as sessions, count(distinct (c.session, c.epoch, c.patch)) as patches,
+           count(*) as pixels, cast(sum(mask) as bigint) as mask_pixels, round(sum(case when s.split = 'val' then value else 0.0 end), 3) as value_sum
+    from (select 'train' as half, * from traincut union all select 'val' as half, * from valcut) c
+    join (select session, split from mani where included) s on s.session = c.session and s.split = c.half
+    group by 1""", "fx_dense", "fx_sessions",
+    **{f"train{k}": v for k, v in _named("train", _crops_sql(7, EPOCHS, PER_IMAGE)).items()},
+    **{f"val{k}": v for k, v in _named("val", _crops_sql(1007, EPOCHS, 2)).items()}, mani=shared.MANIFEST_SQL))
 def train_val_patches(spark, sf):
-    """Validation crops follow their own seed; training crops go through augmentation."""
-    rows = shared.manifest(spark, sf).filter("included and split = 'val'")
-    plan = P.plan_patches(rows, EPOCHS, max(1, 2))
-    found = P.sample_crops(plan, mask(spark, sf), SIZE, FRACTION, 7 + P.VAL_SEED_OFFSET)
-    return found.join(rows.select("session", "split"), "session").groupBy("split").agg(
-        F.countDistinct("session").alias("sessions"), F.count("*").alias("patches"),
-        F.sum("top").alias("top_sum"), F.sum("left").alias("left_sum"),
+    """Both halves of the policy; augmentation moves mask pixels but neither adds nor drops any."""
+    rows = shared.manifest(spark, sf)
+    halves = P.train_and_validation(
+        image_and_mask(spark, sf), mask(spark, sf), rows, EPOCHS, PER_IMAGE, 2, 7, patch_size=SIZE, foreground_fraction=FRACTION
+    )
+    both = [h.withColumn("split", F.lit(name)) for h, name in zip(halves, ("train", "val"))]
+    return both[0].unionByName(both[1]).groupBy("split").agg(
+        F.countDistinct("session").alias("sessions"), F.countDistinct("session", "epoch", "patch").alias("patches"),
+        F.count("*").alias("pixels"), F.sum("mask").cast("bigint").alias("mask_pixels"),
+        F.round(F.sum(F.when(F.col("split") == "val", F.col("value")).otherwise(0.0)), 3).alias("value_sum"),
     )
 
 
@@ -341,11 +356,11 @@ def best_epoch(spark, sf):
 
 
 @register("best_epoch_of_maxima", sql("""
-    select epoch, metric_value from (select *, row_number() over (order by metric_value desc, epoch) as r
-      from fx_history where phase = 'view') where r = 1""", "fx_history"))
+    select phase, epoch, metric_value from (
+      select *, row_number() over (partition by phase order by metric_value desc, epoch) as r from fx_history) where r = 1""", "fx_history"))
 def best_epoch_of_maxima(spark, sf):
-    h = views.history(spark, sf).filter("phase = 'view'").withColumn("run", F.lit(0))
-    return L.best_epoch(h, "metric_value").drop("run")
+    h = views.history(spark, sf).withColumnRenamed("phase", "run")
+    return L.best_epoch(h, "metric_value").withColumnRenamed("run", "phase").select("phase", "epoch", "metric_value")
 
 
 @register("running_best", sql("""
@@ -359,12 +374,15 @@ def running_best(spark, sf):
 @register("stack_histories", sql("""
     select cast(null as double) as dice_loss, epoch, run, round(train_loss, 6) as train_loss from hist where run = 0
     union all
-    select round(val_loss, 6), epoch, run, null from hist where run = 1""", batches=BATCHES, hist=EPOCH_SQL))
+    select round(val_loss, 6), epoch, run, null from hist where run = 1
+    union all
+    select null, epoch, run, round(train_loss, 6) from hist where run = 2""", batches=BATCHES, hist=EPOCH_SQL))
 def stack_histories(spark, sf):
     h = _r(epoch_history(spark, sf), "train_loss", "val_loss")
     first = h.filter("run = 0").select("run", "epoch", "train_loss")
     second = h.filter("run = 1").select("run", "epoch", F.col("val_loss").alias("dice_loss"))
-    return L.stack_histories([first, second])
+    third = h.filter("run = 2").select("run", "epoch", "train_loss")
+    return L.stack_histories([first, second, third])
 
 
 # --------------------------------------------------------------- foreground model
@@ -380,7 +398,7 @@ def foreground_model(spark, sf):
     split = salted_join(joined, rows.select("session", "split"), ["session"], ["y"], "inner")
     features = StoredTable(split).df
     model = G.fit_foreground(
-        features.filter("split = 'train'"), features.filter("split = 'val'"), pos_weight=2.0, max_iter=5
+        features.filter("split = 'train'"), features.filter("split = 'val'"), pos_weight=2.0
     )
     out = G.foreground_probability(model, features.filter("split = 'test'"))
     return out.withColumn("strength", F.lit(model.strength)).withColumn("validation_dice", F.lit(model.dice))

@@ -6,6 +6,8 @@ Every supplier is an imaging session on a 32 x 32 grid; line items are its pixel
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -204,5 +206,9 @@ def sql(body: str, *views: str, **extra: str) -> str:
 
     for view in views:
         add(view)
-    parts = [f"{v} as ({SQL[v]})" for v in ordered] + [f"{k} as ({v})" for k, v in extra.items()]
+    # DuckDB would expand a plain one again at each use
+    def once(name: str, text: str) -> str:
+        return f"{name} as ({text})" if re.search(rf"\b{name}\b", text) else f"{name} as materialized ({text})"
+
+    parts = [once(v, SQL[v]) for v in ordered] + [once(k, v) for k, v in extra.items()]
     return f"with recursive {', '.join(parts)} {body}"

@@ -190,5 +190,40 @@ def test_operating_point_precedence(spark):
     unknown = requests.filter("request_id = 3").selectExpr(
         "request_id", "model", "cast(null as string) as checkpoint", "threshold", "min_size", "tta"
     )
-    with pytest.raises(Exception, match="model not found"):
+    with pytest.raises(Exception, match="no registry entry"):
         P.resolve_operating_point(unknown, registry, kept).collect()
+
+
+def test_densify_with_pixels_left_of_the_image(spark):
+    px = spark.createDataFrame([("s", 0, -3, 9.0), ("s", 0, 2, 5.0), ("s", 1, 7, 8.0), ("s", -1, 0, 8.0)], "session string, y int, x int, value double")
+    rows = {(r.y, r.x): r.value for r in I.densify(px, shapes(spark, ("s", 3, 4))).collect()}
+    assert rows == {(y, x): 5.0 if (y, x) == (0, 2) else 0.0 for y in range(3) for x in range(4)}
+
+
+def test_array_normalisation_is_that_of_pixels(spark):
+    rng = np.random.default_rng(4)
+    arrays = [rng.normal(size=20), np.full(20, 3.0), np.array([np.nan, np.inf, -np.inf, *range(17)]), np.full(20, np.nan)]
+    images = spark.createDataFrame([(str(k), a.tolist()) for k, a in enumerate(arrays)], "session string, pixels array<double>")
+    got = {r.session: r.pixels for r in I.robust_normalise_arrays(images).collect()}
+    rows = [(str(k), 0, x, float(v)) for k, a in enumerate(arrays) for x, v in enumerate(a)]
+    px = spark.createDataFrame(rows, "session string, y int, x int, value double")
+    for r in I.robust_normalise(px).collect():
+        np.testing.assert_allclose(got[r.session][r.x], r.normalised, equal_nan=True)
+
+
+@pytest.mark.parametrize("outliers", [[1e12], [1e300, -1e300, 1e150, 1e15], [5e-324, -0.0]])
+def test_percentiles_beside_outliers(spark, outliers):
+    """No bucket that is ordered in one task grows with the range of the values."""
+    from pixelloom.operators import spread
+
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.uniform(100, 1000, 20_000), outliers])
+    df = spark.createDataFrame([("s", float(v)) for v in values], "session string, value double")
+    probs = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.997, "e": 1.0}
+    got = spread.group_quantiles(df, ["session"], "value", probs).first()
+    for name, p in probs.items():
+        np.testing.assert_allclose(got[name], np.quantile(values, p))
+    bits = df.withColumn("b", spread._ordered_bits(df["value"]))
+    assert bits.groupBy("b").count().agg({"count": "max"}).first()[0] < 20_000 / 40
+    ordered = [r.b for r in bits.orderBy("value").select("b").collect()]
+    assert ordered == sorted(ordered)

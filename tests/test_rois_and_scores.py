@@ -155,7 +155,21 @@ def test_splits_partition_the_included_sessions(spark):
 
 def test_empty_training_split_is_an_error(spark):
     rows = spark.createDataFrame([("s", True, "val")], "session string, included boolean, split string")
-    with pytest.raises(ValueError, match="no rows found"):
+    with pytest.raises(ValueError, match="holds no included"):
         M.require_rows(rows, "train")
     assert M.require_rows(rows, "val").count() == 1
     assert grid(labels(spark, np.ones((1, 1))), "label", (1, 1))[0, 0] == 1
+
+
+def test_an_roi_across_parts_counts_once(spark):
+    from pixelloom.operators.components import pack_rois
+
+    drawn = [("s", y, x, 3) for y in range(1020, 1028) for x in (1023, 1024)] + [("s", 0, 0, 1)]
+    parts = pack_rois(spark.createDataFrame(drawn, "session string, y int, x int, label int"))
+    assert parts.filter("roi_id = 3").count() == 4
+    text = parts.selectExpr("session", "roi_id", "ord", "part", "cast(xpix as array<string>) xpix", "cast(ypix as array<string>) ypix")
+    # columns from 1024 on lie outside, in two of the parts
+    for width, areas, invalid in ((2000, (1, 16), 0), (1024, (1, 8), 1)):
+        shape = shapes(spark, ("s", 2000, width))
+        (row,) = R.summarise_records(R.clean_rois(text, shape), shape).collect()
+        assert (row.roi_count, row.min_roi_area_px, row.max_roi_area_px, row.invalid_roi_entries) == (2, *areas, invalid)
