@@ -43,7 +43,7 @@ class Characters:
     def __init__(self):
         self.letter = np.array([chr(i).isalpha() for i in range(1 << 16)])
 
-    def _codes(self, text: str) -> np.ndarray:
+    def _codes(self, text: str, before: int) -> np.ndarray:
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
         low = codes < (1 << 16)
         letters = self.letter[np.where(low, codes, 0)] & low
@@ -51,8 +51,8 @@ class Characters:
             far = np.flatnonzero(~low)
             letters[far] = [chr(c).isalpha() for c in codes[far].tolist()]
         codes = np.where(letters, codes, 0).astype(np.uint64)
-        start = np.zeros(len(codes), bool)
-        start[1:] = codes[:-1] != 0
+        start = np.empty(len(codes), bool)
+        start[0], start[1:] = before != 0, codes[:-1] != 0
         return codes[letters | start]
 
     def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -61,15 +61,15 @@ class Characters:
             return None
         total, any_letter, tail = np.zeros(N_FEATURES, np.int64), False, np.zeros(1, np.uint64)
         for at in range(0, len(text), PIECE):
-            own = self._codes(text[at : at + PIECE])
+            own = self._codes(text[at : at + PIECE], int(tail[-1]))
             any_letter |= bool(own.any())
             codes = np.concatenate([tail, own, np.zeros(1, np.uint64)] if at + PIECE >= len(text) else [tail, own])
-            hashed = codes * _FACTORS[0]
-            grams = [hashed[codes != 0]]
-            for k in (1, 2):
+            hashed, known = codes * _FACTORS[0], len(tail)
+            grams = [hashed[known:][codes[known:] != 0]]
+            for k in (1, 2):  # those that end in what is new
                 if len(codes) > k:
                     hashed = hashed[:-1] * np.uint64(31) + codes[k:] * _FACTORS[k]
-                    grams.append(hashed)
+                    grams.append(hashed[max(0, known - k) :])
             places = np.concatenate(grams) * _FACTORS[1] >> _SHIFT
             total += np.bincount(places.astype(np.int64), minlength=N_FEATURES)
             tail = codes[-2:]
