@@ -23,7 +23,8 @@ from pixelloom.session import StoredTable
 
 TILE = 1024
 PARTS_ACROSS = 1 << 15
-PLANES = 64
+#: Planes of one image that are spread over several tasks where tiles are large.
+PLANES = 512
 
 
 # --------------------------------------------------------------------- one tile

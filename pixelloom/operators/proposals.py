@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions.scalars import key_column, key_row
 from pixelloom.operators.components import TILE, label_runs
 from pixelloom.operators.spread import bucketed_row_number, salted_join
+from pixelloom.operators.trees import component_tree, pixel_runs, stable_nodes
 from pixelloom.session import StoredTable
 
 LEVEL = ["polarity", "level"]
@@ -66,14 +69,14 @@ def split_runs(runs: DataFrame, tile: int) -> DataFrame:
     )
 
 
-def _parents(runs: DataFrame, regions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """For each region, the region one level lower that holds its first pixel.
+def _parents(runs: DataFrame, regions: DataFrame, keys: Sequence[str], apart: int = 1, out: str = "parent") -> DataFrame:
+    """For each region, the region ``apart`` levels lower that holds its first pixel.
 
     An as-of lookup inside a scanline: first pixels and the runs of the lower level
     are merged in x order and the last run seen covers the pixel.
     """
     seeds = regions.select(
-        *keys, "polarity", (F.col("level") - 1).alias("level"), key_row("root").alias("y"),
+        *keys, "polarity", (F.col("level") - apart).alias("level"), key_row("root").alias("y"),
         key_column("root").alias("x"), F.lit(1).alias("_seed"), F.col("root").alias("_child"),
         F.lit(None).cast("bigint").alias("_root"),
     )
@@ -86,56 +89,92 @@ def _parents(runs: DataFrame, regions: DataFrame, keys: Sequence[str]) -> DataFr
     )
     merged = seeds.unionByName(spans).withColumn("_holder", F.last("_root", ignorenulls=True).over(line))
     return merged.filter("_seed = 1").select(
-        *keys, "polarity", (F.col("level") + 1).alias("level"), F.col("_child").alias("root"),
-        F.col("_holder").alias("parent"),
+        *keys, "polarity", (F.col("level") + apart).alias("level"), F.col("_child").alias("root"),
+        F.col("_holder").alias(out),
     )
 
 
+def _stable_in_images(
+    image: DataFrame, delta: int, min_area: int, max_area: int, max_variation: float, keys: Sequence[str], side: int
+) -> DataFrame:
+    """Stable regions, with their runs, of images of at most ``side`` rows and columns: a tree per polarity."""
+    kinds = dict(image.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + (
+        ", polarity int, level int, root long, area long, variation double, spans array<struct<y:int,x0:int,x1:int>>"
+    )
+
+    def run(key, frame):
+        y, x = frame["y"].to_numpy(), frame["x"].to_numpy()
+        if max(y.max(), x.max()) >= side:
+            raise ValueError(f"a pixel lies outside max_side={side}")
+        rows = []
+        for polarity in (BRIGHT, DARK):
+            levels = np.zeros((y.max() + 1, x.max() + 1), np.int64)
+            levels[y, x] = frame["value"].to_numpy() if polarity == BRIGHT else 255 - frame["value"].to_numpy()
+            tree, width = component_tree(levels), levels.shape[1]
+            for node, level, variation in zip(*stable_nodes(tree, delta, min_area, max_area, max_variation)):
+                first = int(tree.first[node])
+                spans = [dict(zip(("y", "x0", "x1"), map(int, s))) for s in zip(*pixel_runs(tree, node, width))]
+                rows.append((*key, polarity, int(level), (first // width << 32) + first % width, int(tree.area[node]), float(variation), spans))
+        return pd.DataFrame(rows, columns=[*keys, "polarity", "level", "root", "area", "variation", "spans"])
+
+    return image.select(*keys, "y", "x", "value").groupBy(*keys).applyInPandas(run, schema)
+
+
 def stable_regions(
     image: DataFrame, delta: int = 5, min_area: int = 30, max_area: int = 15000,
     max_variation: float = 1.2, keys: Sequence[str] = ("session",), tile: int = TILE,
     max_side: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Regions that change least across levels, and their runs.
+    """Regions that change least across grey levels, and their runs.
+
+    Every grey level is looked at. variation = (area ``delta`` levels lower - area ``delta``
+    levels higher) / area. A region is kept when its variation is no more than that of the
+    region it lies in one level lower, less than that of the largest one inside it one level
+    higher, at most ``max_variation``, and its area is in range. A region with nothing
+    ``delta`` levels below it has no variation.
 
-    variation = (area one level lower - area one level higher) / area. A region is
-    kept when its variation is no more than its parent's, less than that of its
-    largest child, at most ``max_variation``, and its area is in range. A region with
-    nothing below it in level has no variation.
+    Images of at most ``max_side`` rows and columns, if that fits a tile, are worked one by one
+    by their component tree; others by runs of every level, tile by tile.
     """
     keys = list(keys)
     delta = max(1, round(delta))
     min_area = max(5, round(min_area))
     max_area = max(min_area + 1, round(max_area))
     levels = [*keys, *LEVEL]
-    runs = level_runs(image, delta, keys)
-    whole = max_side is not None and max_side <= tile
-    # read by the area count, the parent lookup and the final selection
-    rooted = StoredTable(label_runs(runs if whole else split_runs(runs, tile), levels, tile, max_side, LEVEL)).df
-    regions = rooted.groupBy(*levels, "root").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
-    linked = StoredTable(regions.join(_parents(rooted, regions, keys), [*levels, "root"], "left")).df
-
-    def below(df: DataFrame, *columns) -> DataFrame:
-        """Facts of regions, keyed so that a child one level up can look them up."""
-        return df.select(*keys, "polarity", (F.col("level") + 1).alias("level"), F.col("root").alias("parent"), *columns)
-
-    def above(df: DataFrame, *aggs) -> DataFrame:
-        """Facts of children, gathered on their parent."""
-        return df.filter("parent is not null").groupBy(
-            *keys, "polarity", (F.col("level") - 1).alias("level"), F.col("parent").alias("root")
-        ).agg(*aggs)
-
-    up = [*levels, "parent"]
-    sized = salted_join(linked, below(linked, F.col("area").alias("_outer")), up, ["root"], "left", salts=8)
-    inner = above(linked, F.max("area").alias("_inner"))
-    varied = sized.join(inner, [*levels, "root"], "left").withColumn(
+    if max_side is not None and max_side <= tile:
+        found = StoredTable(_stable_in_images(image, delta, min_area, max_area, max_variation, keys, max_side)).df
+        numbered = _numbered(found.drop("spans"), keys)
+        span = F.explode("spans").alias("s")
+        spans = found.select(*levels, "root", span).join(numbered.select(*levels, "root", "region"), [*levels, "root"])
+        return numbered, spans.select(*keys, "region", "s.y", "s.x0", "s.x1")
+    runs = level_runs(image, 1, keys)
+    # read by the area count, the lookups and the final selection
+    rooted = StoredTable(label_runs(split_runs(runs, tile), levels, tile, max_side, LEVEL)).df
+    regions = StoredTable(rooted.groupBy(*levels, "root").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))).df
+    linked = regions.join(_parents(rooted, regions, keys), [*levels, "root"], "left").join(
+        _parents(rooted, regions, keys, delta, "far"), [*levels, "root"], "left"
+    )
+    linked = StoredTable(linked).df
+
+    def lookup(df: DataFrame, of: DataFrame, apart: int, name: str, fact: Column) -> DataFrame:
+        facts = of.select(*keys, "polarity", (F.col("level") + apart).alias("level"), F.col("root").alias(name), fact)
+        return df.join(facts, [*levels, name], "left")
+
+    def inside(df: DataFrame, apart: int, name: str, fact: Column) -> DataFrame:
+        """Facts of the regions ``apart`` levels higher, gathered on the one that holds them."""
+        return df.filter(F.col(name).isNotNull()).groupBy(
+            *keys, "polarity", (F.col("level") - apart).alias("level"), F.col(name).alias("root")
+        ).agg(fact)
+
+    sized = lookup(linked, regions, delta, "far", F.col("area").alias("_outer"))
+    inner = inside(linked, delta, "far", F.max("area").alias("_inner"))
+    varied = StoredTable(sized.join(inner, [*levels, "root"], "left").withColumn(
         "variation", (F.col("_outer") - F.coalesce("_inner", F.lit(0))) / F.col("area")
-    ).select(*levels, "root", "parent", "area", "variation")
-    judged = salted_join(
-        varied, below(varied, F.col("variation").alias("_pv")), up, ["root"], "left", salts=8
-    ).join(
-        above(varied, F.max(F.struct("area", (-F.col("root")).alias("r"), "variation")).alias("_main")),
-        [*levels, "root"], "left",
+    ).select(*levels, "root", "parent", "area", "variation")).df
+    main = F.max(F.struct("area", (-F.col("root")).alias("r"), "variation")).alias("_main")
+    judged = lookup(varied, varied, 1, "parent", F.col("variation").alias("_pv")).join(
+        inside(varied, 1, "parent", main), [*levels, "root"], "left"
     )
     v = F.col("variation")
     stable = judged.filter(
@@ -143,16 +182,21 @@ def stable_regions(
         & (F.col("_pv").isNull() | (v <= F.col("_pv")))
         & (F.col("_main.variation").isNull() | (v < F.col("_main.variation")))
     ).select(*levels, "root", "area", "variation")
-    row = (F.col("polarity") * 256 + F.col("level")).cast("bigint")
-    numbered = bucketed_row_number(
-        stable, keys, F.shiftleft(row, 32) + key_row("root"), [F.col("root")], "region"
-    ).withColumn("region", F.col("region").cast("int"))
+    numbered = _numbered(stable, keys)
     spans = salted_join(
         rooted, numbered.select(*levels, "root", "region"), [*levels, "root"], ["y"], "inner", salts=8
     ).select(*keys, "region", "y", "x0", "x1")
     return numbered, spans
 
 
+def _numbered(stable: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Regions numbered from 1 per image by polarity, level and first pixel."""
+    row = (F.col("polarity") * 256 + F.col("level")).cast("bigint")
+    return bucketed_row_number(
+        stable, keys, F.shiftleft(row, 32) + key_row("root"), [F.col("root")], "region"
+    ).withColumn("region", F.col("region").cast("int"))
+
+
 def regions_to_labels(spans: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
     """Label rows from region runs; a later region takes the pixels it shares."""
     cells = F.explode(F.sequence("x0", "x1")).alias("x")

@@ -118,14 +118,14 @@ def level_runs(spark, sf):
 @register("stable_regions")
 def stable_regions(spark, sf):
     image = StoredTable(byte_image(spark, sf)).df
-    regions, _ = Q.stable_regions(image, 16, 5, 200, 1.2, max_side=SIDE)
+    regions, _ = Q.stable_regions(image, 5, 5, 200, 1.2, max_side=SIDE)
     return regions.select(
         "session", "region", "polarity", "level", key_row("root").alias("first_y"),
         key_column("root").alias("first_x"), "area", "variation",
     )
 
 
-SMALL = {"MSER min area": 5, "MSER max area": 200, "area min": 5, "MSER threshold": 60.0, "tophat kernel": 5, "MSER delta": 16}
+SMALL = {"MSER min area": 5, "MSER max area": 200, "area min": 5, "MSER threshold": 60.0, "tophat kernel": 5}
 
 
 @register("propose_rois")

@@ -76,21 +76,22 @@ def plain_stable(image, delta, lo, hi, most):
     """Stable regions by labelling every level of both polarities."""
     out = []
     for polarity, u in ((0, image), (1, 255 - image)):
-        top = int(u.max()) // delta
-        maps = {i: components(u >= i * delta) for i in range(1, top + 1)}
+        maps = {i: components(u >= i) for i in range(1, int(u.max()) + 1)}
         info = {}
         for i, m in maps.items():
             for k in range(1, m.max() + 1):
                 y, x = np.argwhere(m == k)[0]
                 parent = (i - 1, maps[i - 1][y, x]) if i > 1 else None
-                info[i, k] = {"area": int((m == k).sum()), "seed": (int(y), int(x)), "parent": parent, "kids": []}
+                far = (i - delta, maps[i - delta][y, x]) if i > delta else None
+                info[i, k] = {"area": int((m == k).sum()), "seed": (int(y), int(x)), "parent": parent, "far": far, "kids": [], "inner": 0}
         for key, r in info.items():
             if r["parent"]:
                 info[r["parent"]]["kids"].append(key)
+            if r["far"]:
+                info[r["far"]]["inner"] = max(info[r["far"]]["inner"], r["area"])
         for r in info.values():
             r["main"] = max(r["kids"], key=lambda c: (info[c]["area"], [-v for v in info[c]["seed"]]), default=None)
-            inner = info[r["main"]]["area"] if r["main"] else 0
-            r["v"] = (info[r["parent"]]["area"] - inner) / r["area"] if r["parent"] else None
+            r["v"] = (info[r["far"]]["area"] - r["inner"]) / r["area"] if r["far"] else None
         for (i, _), r in info.items():
             v = r["v"]
             if v is None or v > most or not lo <= r["area"] <= hi:
@@ -130,7 +131,9 @@ def test_model_free_route_keeps_fixed_rois(spark):
     shape = shapes(spark, ("s", 48, 48))
     out = propose_rois(
         frame(spark, "value", image), shape,
-        {"MSER min area": 10, "area min": 10, "MSER threshold": 80.0}, fixed, max_side=48,
+        # the background of so small an image must not pass for a region
+        {"MSER min area": 10, "area min": 10, "MSER threshold": 90.0, "MSER max area": 400, "MSER max variation": 0.5},
+        fixed, max_side=48,
     )
     rois = out.rois.groupBy("label", "is_fixed").count().collect()
     assert [(r.label, r["count"]) for r in rois if r.is_fixed] == [(1, 10)]
