@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.operators.components import probability_to_labels, relabel_map
 from pixelloom.operators.spread import bucketed_row_number, salted_join
+from pixelloom.session import StoredTable
 
 ID = ["session", "label"]
 UNDO_DEPTH = 30
@@ -225,17 +226,42 @@ def status_counts(state: Curation) -> DataFrame:
 
 
 # -------------------------------------------------------------- fixed + proposed
-def combine_fixed(fixed_rois: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def take_in_order(candidates: DataFrame) -> DataFrame:
+    """Of overlapping ``(session, roi_id, y, x)`` those that a pass by rising id would keep.
+
+    Each is kept whole unless it shares a pixel with one kept before it. A round keeps the
+    candidates that come first at all of their pixels and drops what touches them; pixels
+    are reduced to their first candidate, so no pairs are made. Every round is stored.
+    """
+    pixel, roi = ["session", "y", "x"], ["session", "roi_id"]
+    open_ = StoredTable(candidates.select("session", "roi_id", "y", "x").distinct(), n=F.count("*"))
+    kept = open_.df.limit(0)
+    while open_.metrics["n"]:
+        first = open_.df.groupBy(*pixel).agg(F.min("roi_id").alias("_first"))
+        whole = open_.df.join(first, pixel).groupBy(*roi).agg(F.min(F.col("roi_id") == F.col("_first")).alias("_all"))
+        won = StoredTable(open_.df.join(whole.filter("_all"), roi, "left_semi")).df
+        touched = open_.df.join(won.select(*pixel), pixel, "left_semi").select(*roi).distinct()
+        kept = kept.unionByName(won)
+        open_ = StoredTable(open_.df.join(touched, roi, "left_anti"), n=F.count("*"))
+    return kept
+
+
+def combine_fixed(
+    fixed_rois: DataFrame, candidates: DataFrame, overlapping: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Fixed ROIs first, then candidates that touch none of their pixels.
 
-    Both inputs are long ``(session, roi_id, y, x)``; candidates must be disjoint, as
-    those drawn from one label image are. Returns ``(session, label, is_fixed, y, x)``
-    and the label table. A candidate that conflicts is dropped whole.
+    Both inputs are long ``(session, roi_id, y, x)``; candidates are disjoint, as those
+    drawn from one label image are, or ``overlapping`` and taken in order. Returns
+    ``(session, label, is_fixed, y, x)`` and the label table. A candidate that conflicts
+    is dropped whole.
     """
     pixel = ["session", "y", "x"]
     taken = fixed_rois.select(*pixel).distinct()
     clash = candidates.join(taken, pixel, "left_semi").select("session", "roi_id").distinct()
     free = salted_join(candidates, clash, ["session", "roi_id"], ["y", "x"], "left_anti", salts=8)
+    if overlapping:
+        free = take_in_order(free)
     return number_fixed_then_free(fixed_rois, free)
 
 

@@ -100,3 +100,31 @@ def test_fixed_rois_come_first_and_conflicts_are_dropped_whole(spark):
     rois, table = U.combine_fixed(fixed, found)
     assert sorted({(r.label, r.is_fixed) for r in rois.collect()}) == [(1, True), (2, True), (3, False)]
     assert sorted((r.y, r.x, r.label) for r in table.collect()) == [(0, 0, 2), (0, 1, 2), (5, 5, 3)]
+
+
+def test_overlapping_candidates_are_taken_in_order(spark):
+    rng = np.random.default_rng(6)
+    rois = {}
+    for k in range(1, 40):
+        y, x, h, w = rng.integers(0, 12), rng.integers(0, 12), rng.integers(1, 5), rng.integers(1, 5)
+        rois[k] = {(int(a), int(b)) for a in range(y, y + h) for b in range(x, x + w)}
+    rows = [("s", k, *p) for k, pixels in rois.items() for p in pixels]
+    candidates = spark.createDataFrame(rows, "session string, roi_id int, y int, x int")
+    fixed = spark.createDataFrame([("s", 1, 3, 3), ("s", 1, 3, 4)], "session string, roi_id int, y int, x int")
+    taken, want = {(3, 3), (3, 4)}, []
+    for k in sorted(rois):
+        if not rois[k] & taken:
+            taken |= rois[k]
+            want.append(rois[k])
+    out, _ = U.combine_fixed(fixed, candidates, overlapping=True)
+    got = {}
+    for r in out.filter("not is_fixed").collect():
+        got.setdefault(r.label, set()).add((r.y, r.x))
+    assert [got[k] for k in sorted(got)] == want
+
+
+def test_clearing_marks(spark):
+    ids = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "session string, label int")
+    only = spark.createDataFrame([("a",)], "session string")
+    assert U.clear_fixed(ids).count() == 0 and U.clear_selection(ids).count() == 0
+    assert [tuple(r) for r in U.clear_fixed(ids, only).collect()] == [("b", 1)]
