@@ -1,7 +1,7 @@
 """Token-id output: Arrow files of equal-length sequences with masks, opened without copying.
 
-Documents are put in ascending ``doc_id`` order by a range partitioning; each partition writes
-one pair of files. The sequence file holds record batches of two fixed-size lists, ``ids`` and
+Documents are encoded where they lie and put in ascending ``doc_id`` order by a range partitioning;
+each partition writes one pair of files. The sequence file holds record batches of two fixed-size lists, ``ids`` and
 ``mask`` (false where the last sequence of a file is padded). The index file holds, per document,
 its first id's place in the sequence file and its number of ids. A file is written under a name
 of its own attempt and counts only once its task has ended, so a lost executor costs one
@@ -24,6 +24,7 @@ from pixelloom.llm.tokens import WordEncoder, encoded, tokenizer_path
 from pixelloom.session import shared_dir
 
 END_ID = 1
+STEP = 512
 MANIFEST = "part int, sequences string, documents string, n_docs long, n_tokens long"
 READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -102,7 +103,7 @@ class _Writer:
     def _batch(self, values: np.ndarray, real: int) -> None:
         mask = np.arange(len(values)) < real
         columns = [
-            pa.FixedSizeListArray.from_arrays(pa.array(values.astype(self.kind.to_pandas_dtype())), self.length),
+            pa.FixedSizeListArray.from_arrays(pa.array(values, self.kind), self.length),
             pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length),
         ]
         self.out.write_batch(pa.record_batch(columns, schema=self.schema))
@@ -128,17 +129,36 @@ def write_token_files(
     """Write ``docs(doc_id, text)`` under ``folder``; one manifest entry per file pair.
 
     A null text counts as empty and is its end id alone. Rows with a null ``doc_id`` come
-    first; rows that share a ``doc_id`` are all written, ordered by a hash of their text.
+    first; rows that share a ``doc_id`` are all written, ordered by a checksum of their ids.
     Other columns are ignored; an empty table writes nothing. Ids are stored in 16 bits where
     the vocabulary allows, else in 32. The manifest grows with the number of partitions only.
     """
-    path = tokenizer or tokenizer_path()
+    path, spark = tokenizer or tokenizer_path(), docs.sparkSession
+    n_ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = [k / n_ranges for k in range(1, n_ranges)]
+    # one bound per partition comes back
+    bounds = docs.agg(F.percentile_approx("doc_id", cuts, 10 * n_ranges)).first()[0] if cuts else None
+    bounds = np.array(sorted(bounds or []))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(path)
+        kind = "<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        for batch in batches:
+            ids = batch.column(0)
+            ranges = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
+            ranges = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, ranges)
+            for at in range(0, batch.num_rows, STEP):
+                own = slice(at, at + STEP)
+                data = [x.astype(kind).tobytes() for _, x in encoded(batch.column(1).slice(at, STEP), encoder, end_id)]
+                yield pa.record_batch(
+                    [pa.array(ranges[own], pa.int32()), ids.slice(at, STEP), pa.array(map(zlib.crc32, data), pa.int64()),
+                     pa.array([len(x) // int(kind[-1]) for x in data], pa.int64()), pa.array(data, pa.binary())],
+                    names=["range", "doc_id", "tie", "n", "ids"],
+                )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = WordEncoder(path)
-        small = max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
         part, name = TaskContext.get().partitionId(), uuid.uuid4().hex
         names = [f"{folder}/{part:06d}-{name}-{kind}.arrow" for kind in ("sequences", "documents")]
         out = index = sink = None
@@ -146,17 +166,17 @@ def write_token_files(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if out is None:
-                out = _Writer(names[0], length, sequences_per_batch, pa.uint16() if small else pa.uint32())
-                schema = pa.schema([("doc_id", batch.column(0).type), ("start", pa.int64()), ("n", pa.int64())])
-                sink = _created(names[1])
-                index = pa.ipc.new_file(sink, schema)
-            starts, sizes = [], []
-            for _, ids in encoded(batch.column(1), encoder, end_id):
+            sizes = batch.column(1).to_pylist()
+            starts = []
+            for n, data in zip(sizes, batch.column(2)):
+                ids = np.frombuffer(data.as_buffer(), f"<u{data.as_buffer().size // n}")
+                if out is None:
+                    out = _Writer(names[0], length, sequences_per_batch, pa.from_numpy_dtype(ids.dtype))
+                    schema = pa.schema([("doc_id", batch.column(0).type), ("start", pa.int64()), ("n", pa.int64())])
+                    sink = _created(names[1])
+                    index = pa.ipc.new_file(sink, schema)
                 starts.append(out.add(ids))
-                sizes.append(len(ids))
-            rows = [batch.column(0), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())]
-            index.write_batch(pa.record_batch(rows, schema=schema))
+            index.write_batch(pa.record_batch([batch.column(0), pa.array(starts, pa.int64()), batch.column(1)], schema=schema))
             n_docs += batch.num_rows
         if out is not None:
             out.close()
@@ -168,11 +188,12 @@ def write_token_files(
                 ("part", pa.int32()), ("sequences", pa.string()), ("documents", pa.string()),
                 ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    tie = F.xxhash64("text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ordered = (
-        docs.select("doc_id", "text")
-        .repartitionByRange(F.col("doc_id").asc_nulls_first(), tie)
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+        rows.mapInArrow(encode, "range int, doc_id long, tie long, n long, ids binary")
+        .repartitionById(n_ranges, F.col("range"))
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+        .select("doc_id", "n", "ids")
     )
     entries = sorted((r.asDict() for r in ordered.mapInArrow(write, MANIFEST).collect()), key=lambda r: r["part"])
     base = 0
