@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -182,12 +183,14 @@ def normalised(text: str) -> Traced | None:
     return traced
 
 
-def _apart(span: Span, others: list[Span]) -> bool:
-    return all(span[1] <= a or b <= span[0] for a, b in others)
+def _within(span: Span, others: list[Span]) -> bool:
+    """Whether one of ``others``, which are in order and apart, holds the whole span."""
+    k = bisect_right(others, span[0], key=lambda s: s[0]) - 1
+    return k >= 0 and span[1] <= others[k][1]
 
 
 def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
-    """Plain spans, and all spans: a disguised one is added where no plain one of its kind overlaps it."""
+    """Plain spans, and all spans: a disguised one is added unless a plain one of its kind holds all of it."""
     base = identifiers(text or "")
     traced = normalised(text) if text else None
     if traced is None:
@@ -195,7 +198,7 @@ def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]
     found = {}
     for kind, spans in identifiers(traced.text).items():
         own = base[kind]
-        new = {s for s in map(traced.source, spans) if _apart(s, own)}
+        new = {s for s in map(traced.source, spans) if not _within(s, own)}
         found[kind] = sorted([*own, *new])
     return base, found
 

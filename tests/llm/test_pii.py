@@ -66,6 +66,26 @@ def test_disguises(text, kind, source):
         assert 0 <= a < b <= len(text)
 
 
+@pytest.mark.parametrize("text, kind, plain, source", [
+    ("a jоhn.smith@example.com b", "email", ["hn.smith@example.com"], "jоhn.smith@example.com"),
+    ("john@example.cоm", "email", ["john@example.c"], "john@example.cоm"),
+    ("аnn@mail.example.com", "email", ["nn@mail.example.com"], "аnn@mail.example.com"),
+    ("john@mail.example dot com", "email", ["john@mail.example"], "john@mail.example dot com"),
+    ("dial +1 555 123 456７ now", "phone", ["+1 555 123 456"], "+1 555 123 456７"),
+])
+def test_disguises_around_plain_spans(text, kind, plain, source):
+    base, found = pii.find(text)
+    assert [text[a:b] for a, b in base[kind]] == plain
+    assert {text[a:b] for a, b in found[kind]} == {*plain, source}
+    assert pii.redacted(text) == text.replace(source, f"<{kind.upper()}>")
+
+
+def test_disguises_inside_plain_spans():
+    text = "john.one.two.three@example.com and 10.0.0.1 (at) x"
+    base, found = pii.find(text)
+    assert found == base
+
+
 def test_spelled_phone():
     text = "ring plus four nine five five five one two three four today"
     _, found = pii.find(text)
