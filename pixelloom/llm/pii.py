@@ -2,8 +2,9 @@
 
 Plain identifiers are matched on the text itself. For disguised ones a chain of small transducers
 rewrites the text and carries, for every character it writes, the source span it stands for:
-look-alike letters and digits become ASCII, runs of spelled digits become digits, and bracketed or
-spelled *at* and *dot* become ``@`` and ``.``. The same matchers run on the result, and what they
+look-alike letters and digits become ASCII, bracketed or spelled *at* and *dot* become ``@`` and
+``.``, and spelled digits become digits in runs and beside digits. Each sign is judged by what stands
+next to it, never by the rest of the text. The same matchers run on the result, and what they
 find is mapped back to code-point offsets of the source. All matchers take time linear in the text.
 Rows are handled where they lie; nothing is shuffled.
 """
@@ -118,15 +119,18 @@ _FOLDED = {c: f for a, b in ((0xFF01, 0xFF5F), (0x1D400, 0x1D800), (0x2460, 0x24
 ONE_TO_ONE = {ord(k): v for k, v in LOOK_ALIKES.items()} | _FOLDED
 ODD = re.compile("[" + "".join(map(re.escape, map(chr, ONE_TO_ONE))) + "]")
 DIGIT_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_NUMBER = "(?:" + "|".join(DIGIT_WORDS) + ")"
-_BETWEEN = r"[\s,-]{1,3}"
-SPELLED = re.compile(rf"(?<![a-z0-9])(?:plus{_BETWEEN})?{_NUMBER}(?:{_BETWEEN}{_NUMBER}){{2,}}(?![a-z0-9])", re.I)
-SPELLED_ONE = re.compile(rf"plus|{_NUMBER}", re.I)
+ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+BETWEEN = re.compile(r"[\s,-]{1,3}")
+PLUS = re.compile(r"(?<![a-z0-9])plus[\s,-]{1,3}\Z", re.I)
+#: What makes a run of less than three spelled digits part of a number.
+BEFORE, AFTER = re.compile(r"(?:[0-9](?:[\s,-]{1,3}|\.)|\+\s?)\Z"), re.compile(r"(?:[\s,-]{1,3}|\.)[0-9]")
 _OPEN, _CLOSE = r"\s{0,2}[(\[{<]\s{0,2}", r"\s{0,2}[)\]}>]\s{0,2}"
-#: A bracketed sign anywhere; a spelled one only in ``name at place dot place``.
+#: A bracketed sign or a spelled dot anywhere; a spelled *at* only before a domain with a dot that was written here.
 BRACKETED = re.compile(rf"{_OPEN}(at|@|dot|\.){_CLOSE}", re.I)
-SPOKEN_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,2}dot\s{1,2}(?=[A-Za-z0-9])", re.I)
-SPOKEN_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\s{1,2}at\s{1,2}(?=[A-Za-z0-9-]{1,63}\.[A-Za-z0-9])", re.I)
+SIGN = re.compile(r"[(\[{<]\s{0,2}(?:at|@|dot|\.)\s{0,2}[)\]}>]", re.I)
+SIGNS = {"at": "@", "@": "@", "dot": ".", ".": "."}
+SPOKEN_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,2}(dot)\s{1,2}(?=[A-Za-z0-9])", re.I)
+SPOKEN_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\s{1,2}at\s{1,2}(?=[A-Za-z0-9-])", re.I)
 
 
 class Traced:
@@ -153,34 +157,88 @@ class Traced:
         return self.starts[span[0]], self.ends[span[1] - 1]
 
 
-def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
-    """Digits for spelled ones; what stands between two of them goes into the later one's span."""
+def _number_words(text: str) -> list[tuple[int, int, str]]:
+    """Spelled digits that stand as words, with the digit."""
+    low = text.lower()
+    if len(low) != len(text):  # a letter with a longer lower case
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+    found = []
+    for word, digit in DIGIT_WORDS.items():
+        at = low.find(word)
+        while at >= 0:
+            end = at + len(word)
+            if low[at - 1 : at] not in ALNUM and low[end : end + 1] not in ALNUM:
+                found.append((at, end, digit))
+            at = low.find(word, end)
+    return sorted(found)
+
+
+def _spelled_edits(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Digits for spelled ones: edits of the runs of three or more, and of all runs that are part of a number.
+
+    Shorter runs are part of one next to a digit, a plus or, by a dot, another spelled digit. What
+    stands between two spelled digits goes into the later one's span; a dot stays.
+    """
+    words = _number_words(text)
+    long, every, k = [], [], 0
+    while k < len(words):
+        first, dots, length, most = k, 0, 1, 1
+        while (k := k + 1) < len(words):
+            between = text[words[k - 1][1] : words[k][0]]
+            if between != "." and not BETWEEN.fullmatch(between):
+                break
+            length = 1 if between == "." else length + 1
+            dots, most = dots + (between == "."), max(most, length)
+        start, end = words[first][0], words[k - 1][1]
+        plus = PLUS.search(text, max(0, start - 8), start)
+        if most < 3 and not (dots or plus or BEFORE.search(text, max(0, start - 4), start) or AFTER.match(text, end)):
+            continue
+        edits, at = ([(plus.start(), plus.start() + 4, "+")], plus.start() + 4) if plus else ([], start)
+        for a, b, digit in words[first:k]:
+            edits.append((a if text[at:a] == "." else at, b, digit))
+            at = b
+        every += edits
+        if most >= 3:
+            long += edits
+    return long, every
+
+
+def _unspoken(traced: Traced, source: str) -> Traced:
+    """``traced`` with ``@`` for a spelled *at* before a domain that has a dot not in ``source``."""
     edits = []
-    for run in SPELLED.finditer(text):
-        at = run.start()
-        for word in SPELLED_ONE.finditer(text, run.start(), run.end()):
-            edits.append((at, word.end(), DIGIT_WORDS.get(word.group().lower(), "+")))
-            at = word.end()
-    return edits
+    for at in SPOKEN_AT.finditer(traced.text):
+        domain = DOMAIN.match(traced.text, at.end())
+        if domain and any(c == "." and source[traced.starts[k]] != "." for k, c in enumerate(domain.group(), at.end())):
+            edits.append((*at.span(), "@"))
+    traced.rewrite(edits)
+    return traced
 
 
-def normalised(text: str) -> Traced | None:
-    """The text without disguises, or None if it has none."""
+def normalised(text: str) -> list[Traced]:
+    """The text without disguises, none if it has none; a second one where shorter spelled runs join numbers.
+
+    Those can as well be words after a number, so the text is also read without them.
+    """
     plain = text if text.isascii() or not ODD.search(text) else text.translate(ONE_TO_ONE)
-    low = plain.lower() if plain.isascii() else plain.casefold()
-    spelled = any(w in low for w in DIGIT_WORDS) and SPELLED.search(plain)
-    signs = [BRACKETED.search(plain) if any(c in low for c in ("at", "dot", "@")) else None, "dot" in low and SPOKEN_DOT.search(plain)]
-    if plain is text and not spelled and not any(signs):
-        return None
-    traced = Traced(plain)
-    if spelled:
-        traced.rewrite(_spelled_edits(traced.text))
-    for pattern in (BRACKETED, SPOKEN_DOT):
-        sign = {"at": "@", "@": "@", "dot": ".", ".": "."}
-        traced.rewrite([(*m.span(), sign[m.group(1).lower()] if pattern is BRACKETED else ".") for m in pattern.finditer(traced.text)])
-    if signs[1]:
-        traced.rewrite([(*m.span(), "@") for m in SPOKEN_AT.finditer(traced.text)])
-    return traced
+    patterns = [BRACKETED] if any(c in plain for c in "([{<") and SIGN.search(plain) else []
+    if "dot" in plain.lower() and (patterns or SPOKEN_DOT.search(plain)):
+        patterns.append(SPOKEN_DOT)
+
+    def signed() -> Traced:
+        traced = Traced(plain)
+        for pattern in patterns:
+            traced.rewrite([(*m.span(), SIGNS[m.group(1).lower()]) for m in pattern.finditer(traced.text)])
+        return traced
+
+    long, every = _spelled_edits(signed().text if patterns else plain)
+    if plain is text and not patterns and not every:
+        return []
+    out = []
+    for edits in [long] if long == every else [long, every]:
+        traced = signed()
+        traced.rewrite(edits)
+        out.append(_unspoken(traced, text))
+    return out
 
 
 def _within(span: Span, others: list[Span]) -> bool:
@@ -189,18 +247,26 @@ def _within(span: Span, others: list[Span]) -> bool:
     return k >= 0 and span[1] <= others[k][1]
 
 
+def _widest(spans: set[Span]) -> list[Span]:
+    """The spans that lie in no other one."""
+    out: list[Span] = []
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not out or b > out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """Plain spans, and all spans: a disguised one is added unless a plain one of its kind holds all of it."""
     base = identifiers(text or "")
-    traced = normalised(text) if text else None
-    if traced is None:
+    read = normalised(text) if text else []
+    if not read:
         return base, base
-    found = {}
-    for kind, spans in identifiers(traced.text).items():
-        own = base[kind]
-        new = {s for s in map(traced.source, spans) if not _within(s, own)}
-        found[kind] = sorted([*own, *new])
-    return base, found
+    found = {kind: set() for kind in KINDS}
+    for traced in read:
+        for kind, spans in identifiers(traced.text).items():
+            found[kind].update(map(traced.source, spans))
+    return base, {kind: sorted([*own, *(s for s in _widest(found[kind]) if not _within(s, own))]) for kind, own in base.items()}
 
 
 def written(spans: dict[str, list[Span]]) -> str:

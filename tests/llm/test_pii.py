@@ -86,6 +86,39 @@ def test_disguises_inside_plain_spans():
     assert found == base
 
 
+@pytest.mark.parametrize("text, kind, source", [
+    ("write john at example [dot] com now", "email", "john at example [dot] com"),
+    ("john at mail.example{dot}com", "email", "john at mail.example{dot}com"),
+    ("my IP: 10[.]0[.]0[.]1", "ip", "10[.]0[.]0[.]1"),
+    ("my IP: 10 dot 0 dot zero dot 1", "ip", "10 dot 0 dot zero dot 1"),
+    ("host 192.168.zero.one is up", "ip", "192.168.zero.one"),
+    ("one.two.three.four", "ip", "one.two.three.four"),
+    ("call +1 555 one two 3 4567", "phone", "+1 555 one two 3 4567"),
+    ("call plus one 555 123 4567", "phone", "plus one 555 123 4567"),
+    ("card 4111 1111 one one 11 111 one", "card", "4111 1111 one one 11 111 one"),
+    # a number's end and a word after it: neither reading hides the other
+    ("card ４１１１ 1111 1111 1111 two of", "card", "４１１１ 1111 1111 1111"),
+])
+def test_signs_are_judged_where_they_stand(text, kind, source):
+    for around in ("{}", "{} and x dot y", "look at three. {}"):
+        whole = around.format(text)
+        base, found = pii.find(whole)
+        assert base[kind] == [] and [whole[a:b] for a, b in found[kind]] == [source]
+
+
+@pytest.mark.parametrize("text", [
+    "meet at example.com, x dot y", "the only one. 3 of two at 5.one", "in 2020 one of seven", "10 (at) 20, see [1] and {two}", "one.two",
+])
+def test_clean_texts_stay_with_signs_about(text):
+    base, found = pii.find(text)
+    assert found == base == brute(text)
+
+
+def test_many_spelled_digits_take_linear_time():
+    for text in ("one " * 100_000, "one.2 " * 60_000, "a at b dot c " * 20_000, "(" * 300_000 + "1 one", "4 one x" * 60_000):
+        pii.find(text)
+
+
 def test_spelled_phone():
     text = "ring plus four nine five five five one two three four today"
     _, found = pii.find(text)
