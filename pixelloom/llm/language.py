@@ -3,14 +3,15 @@
 Letters are lower-cased, everything else becomes one boundary mark, and runs of one to three
 characters are hashed into ``N_FEATURES`` places. Weights are TF-IDF with document counts over
 every training document. The regression is trained by follow-the-regularised-leader (proximal)
-with an elastic net on a drawn sample of at most ``MAX_SAMPLE`` labelled documents, drawn evenly
-over the languages; one part of the sample is held back to fit the temperature of the softmax.
+with an elastic net on a drawn sample of at most ``MAX_SAMPLE`` labelled documents, as many
+of each language, or all it has; one part of the sample is held back to fit the temperature of the softmax.
 The model has a row of ``N_FEATURES`` weights per language, which bounds what is sent to the
 executors. Counting and prediction read whole texts where they lie, without a shuffle of texts.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -158,11 +159,88 @@ def document_counts(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(seen[-1]), seen[:-1]
 
 
+def even_quota(counts: list[int], most: int) -> int:
+    """The largest number such that so many of each language, or all it has, are ``most`` together; one at least."""
+    left, counts = most, sorted(counts)
+    for k, n in enumerate(counts):
+        if n * (len(counts) - k) > left:
+            return max(1, left // (len(counts) - k))
+        left -= n
+    return counts[-1]
+
+
+class FirstTurns:
+    """Tells whether a row can be among the ``quota`` rows of its language with the smallest turns."""
+
+    def __init__(self, quota: int):
+        self.quota, self.held = quota, {}
+
+    def add(self, language: int, turn: float) -> bool:
+        held = self.held.setdefault(language, [])
+        if len(held) < self.quota:
+            heapq.heappush(held, -turn)
+            return True
+        return -turn > held[0] and heapq.heappushpop(held, -turn) is not None
+
+
+def draw_sample(train: DataFrame, per_language: dict[str, int], max_sample: int, seed: int = 5) -> DataFrame:
+    """Rows ``(language, places, counts)`` to train on, in one partition and in the order of training.
+
+    Every language gives the same number of documents with letters, or all it has, those of its
+    smallest hashes. The order is that of another hash.
+    """
+    languages, quota = sorted(per_language), even_quota(list(per_language.values()), max_sample)
+    # a hash times this is about a document's place in its language, in quotas
+    shares = F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(per_language[lang] / quota))])
+    number = F.create_map(*[F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)])
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = train.select(
+        "text", number[F.col("lang")].alias("language"), (draw * shares[F.col("lang")]).alias("turn"),
+        F.xxhash64("doc_id", "text", F.lit(seed + 1)).alias("place"),
+    ).filter(F.col("turn") < (quota + 6 * quota**0.5 + 10) / quota)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        characters, first = Characters(), FirstTurns(quota)
+        for batch in batches:
+            rows = [
+                (k, t, p, g) for text, k, t, p in zip(*[c.to_pylist() for c in batch.columns])
+                if (g := characters.count(text)) and first.add(k, t)
+            ]
+            yield pa.record_batch(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()),
+                 pa.array([r[2] for r in rows], pa.int64()),
+                 pa.array([r[3][0].astype("<i4").tobytes() for r in rows], pa.binary()),
+                 pa.array([r[3][1].astype("<i8").tobytes() for r in rows], pa.binary())],
+                names=["language", "turn", "place", "places", "counts"],
+            )
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                own = held.setdefault(row[0], [])
+                own.append(row)
+                if len(own) > 2 * quota:
+                    own.sort(key=lambda r: r[1:3])
+                    del own[quota:]
+        rows = [r for own in held.values() for r in sorted(own, key=lambda r: r[1:3])[:quota]]
+        rows.sort(key=lambda r: (r[2], r[0]))
+        for at in range(0, len(rows), 500):
+            part = list(zip(*rows[at : at + 500]))
+            yield pa.record_batch(
+                [pa.array(part[0], pa.int32()), pa.array(part[3], pa.binary()), pa.array(part[4], pa.binary())],
+                names=["language", "places", "counts"],
+            )
+
+    found = drawn.mapInArrow(grams, "language int, turn double, place long, places binary, counts binary")
+    return found.repartition(1).mapInArrow(choose, "language int, places binary, counts binary")
+
+
 def fit(docs: DataFrame, max_sample: int = MAX_SAMPLE, seed: int = 5) -> Model:
     """Train on the rows of ``docs(doc_id, text, lang)`` that are not held out and have a ``lang``.
 
-    At most ``max_sample`` documents are trained on (their order and choice follow a hash of id and
-    text); the document counts cover all training rows. Without a labelled text there are no
+    At most ``max_sample`` documents are trained on (their order and choice follow hashes of id and
+    text, see ``draw_sample``); the document counts cover all training rows. Without a labelled text there are no
     languages, and everything is predicted ``und``.
     """
     train = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -172,31 +250,12 @@ def fit(docs: DataFrame, max_sample: int = MAX_SAMPLE, seed: int = 5) -> Model:
     if not per_language or not total:
         return Model([], idf, np.zeros((0, N_FEATURES + 1)), 1.0)
     languages = sorted(per_language)
-    quota = max_sample / len(languages)
-    shares = F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(per_language[lang] / quota))])
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    number = F.create_map(*[F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)])
-    sample = (
-        train.withColumn("_turn", draw * shares[F.col("lang")])
-        .filter("_turn < 1.2")
-        .select("text", number[F.col("lang")].alias("language"), draw.alias("_turn"))
-    )
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        characters = Characters()
-        for batch in batches:
-            rows = [(k, t, g) for text, k, t in zip(*[c.to_pylist() for c in batch.columns]) if (g := characters.count(text))]
-            yield pa.record_batch(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()),
-                 pa.array([r[2][0].astype("<i4").tobytes() for r in rows], pa.binary()),
-                 pa.array([r[2][1].astype("<i8").tobytes() for r in rows], pa.binary())],
-                names=["language", "turn", "places", "counts"],
-            )
+    sample = draw_sample(train, per_language, max_sample, seed)
 
     def train_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, classes = [], []
         for batch in batches:
-            for language, _, places, counts in zip(*[c.to_pylist() for c in batch.columns]):
+            for language, places, counts in zip(*[c.to_pylist() for c in batch.columns]):
                 at = np.frombuffer(places, "<i4")
                 rows.append((at, weighted(at, np.frombuffer(counts, "<i8"), idf)))
                 classes.append(language)
@@ -216,12 +275,7 @@ def fit(docs: DataFrame, max_sample: int = MAX_SAMPLE, seed: int = 5) -> Model:
             names=["language", "weights", "temperature"],
         )
 
-    ordered = (
-        sample.select("text", "language", F.col("_turn").alias("turn"))
-        .mapInArrow(grams, "language int, turn double, places binary, counts binary")
-        .orderBy("turn", "language").limit(max_sample)
-    )
-    learned = ordered.coalesce(1).mapInArrow(train_one, "language int, weights binary, temperature double").collect()
+    learned = sample.mapInArrow(train_one, "language int, weights binary, temperature double").collect()
     if not learned:
         return Model([], idf, np.zeros((0, N_FEATURES + 1)), 1.0)
     w = np.array([np.frombuffer(r["weights"], "<f8") for r in sorted(learned, key=lambda r: r["language"])])

@@ -1,7 +1,10 @@
 """Language identification: held-out accuracy, calibration and corners."""
 
+from collections import Counter
+
 import numpy as np
 import zlib
+from pyspark.sql import functions as F
 
 from pixelloom.llm import language
 
@@ -34,6 +37,27 @@ def test_only_texts_count(spark):
         assert (r.lang_pred, round(r.score, 9)) == (lambda p: (p[0], round(p[1], 9)))(model.predict(characters.count(t)))
 
 
+def test_sample_is_even(spark):
+    """A rare language gives as many documents as the others, or all it has, also above the bound."""
+    sizes = {"aa": 6000, "bb": 3000, "cc": 2000, "dd": 1500, "ee": 1200, "ff": 90}
+    rows = [(k, f"{lang} text of number{k}", lang) for lang, n in sizes.items() for k in range(n)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7, F.col("text"))
+    for most, want in ((300, [50] * 6), (900, [162] * 5 + [90])):
+        drawn = Counter(r.language for r in language.draw_sample(train, sizes, most).select("language").collect())
+        assert [drawn[k] for k in range(6)] == want
+    # copies of one row are rows like any other, but never more than the quota
+    copies = spark.createDataFrame(rows[:1] * 5000 + rows[-90:], train.schema)
+    drawn = Counter(r.language for r in language.draw_sample(copies, {"aa": 5000, "ff": 90}, 200).select("language").collect())
+    assert drawn[0] <= 110 and drawn[1] == 90
+
+
+def test_order_mixes_the_languages(spark):
+    rows = [(k, f"text of number{k}", "aa" if k % 3 else "bb") for k in range(900)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    order = [r.language for r in language.draw_sample(train, {"aa": 600, "bb": 300}, 400).select("language").collect()]
+    assert Counter(order[:200]).most_common()[-1][1] > 70 and Counter(order) == {0: 200, 1: 200}
+
+
 def test_corners(spark):
     rows = [(k, "the and of to in " * 5 if k % 2 else "der die und das ist " * 5, "en" if k % 2 else "de", "s") for k in range(60)]
     rows += [(100, None, "en", "s"), (101, "", "de", "s"), (102, "123 !?", "en", "s"), (None, "und das", None, "s"), (103, "der " * 300_000, None, "s"), (103, "der " * 300_000, None, "s")]
