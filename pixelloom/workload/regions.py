@@ -115,6 +115,20 @@ def level_runs(spark, sf):
     return Q.level_runs(byte_image(spark, sf), 32)
 
 
+EVERY_LEVEL = {k: LEVELS[k] for k in ("bytes", "pol")} | {
+    "lev": "select session, polarity, cast(l.range as int) as level, y, x from pol join range(1, 256) l on u >= l.range",
+}
+
+
+@register("level_runs_every_level", sql("""
+    select session, polarity, level, y, cast(min(x) as int) as x0, cast(max(x) as int) as x1
+    from (select *, x - row_number() over (partition by session, polarity, level, y order by x) as g from lev)
+    group by session, polarity, level, y, g""", "fx_dense", **EVERY_LEVEL))
+def level_runs_every_level(spark, sf):
+    """All 255 grey levels, as the stable regions read them; ``level_runs`` looks at seven."""
+    return Q.level_runs(byte_image(spark, sf), 1)
+
+
 @register("stable_regions")
 def stable_regions(spark, sf):
     image = StoredTable(byte_image(spark, sf)).df

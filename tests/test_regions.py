@@ -9,6 +9,7 @@ from pixelloom.functions.scalars import key_column, key_row
 from pixelloom.operators import proposals as Q
 from pixelloom.operators import shape as H
 from pixelloom.plans.segmentation import propose_rois
+from pixelloom.workload import regions
 
 
 def blobs(seed=8, side=24):
@@ -142,3 +143,12 @@ def test_model_free_route_keeps_fixed_rois(spark):
     assert stats.fixed == 1 and stats.kept == len(rois) and stats.regions >= stats.candidates
     table = grid(out.labels, "label", (48, 48))
     assert (table[30:40, 2] == 1).all()
+
+
+def test_level_runs_query_takes_every_level(spark):
+    import __spark_entry__ as entry
+
+    runs = entry.queries()["level_runs_every_level"](spark, "/root/testdata/sf0.001")
+    image = regions.byte_image(spark, "/root/testdata/sf0.001").agg(F.max("value"), F.min("value")).first()
+    top = {r.polarity: r.top for r in runs.groupBy("polarity").agg(F.countDistinct("level").alias("top")).collect()}
+    assert top == {Q.BRIGHT: image[0], Q.DARK: 255 - image[1]}
