@@ -91,8 +91,8 @@ def unfix_selected(spark, sf):
 @register("toggle_fixed", q("""
     (select * from fixd except select * from sel where session in (select session from part where whole))
     union select * from sel where session in (select session from part where not whole)""",
-    part="select s.session, bool_and(f.label is not null) as whole from tsel s left join fixd f on f.session = s.session and f.label = s.label group by 1",
-    ).replace("part as (", "tsel as (select * from sel where label > 0), part as ("))
+    tsel="select * from sel where label > 0",
+    part="select s.session, bool_and(f.label is not null) as whole from tsel s left join fixd f on f.session = s.session and f.label = s.label group by 1"))
 def toggle_fixed(spark, sf):
     s = state(spark, sf)
     return U.toggle_fixed(s.labels, s.selected, s.fixed)
