@@ -19,6 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pixelloom.llm.common import quoted
 
 N_FEATURES = 1 << 15
 MAX_SAMPLE = 4000
@@ -291,7 +294,7 @@ def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",
     kept = docs.select("text", *columns)
     # one row of weights per language
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.idf, model.weights, model.temperature))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
+    schema = T.StructType(kept.schema.fields[1:]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         characters, own = Characters(), Model(*sent.value)
@@ -302,7 +305,7 @@ def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",
                 names=[*batch.schema.names[1:], "lang_pred", "score"],
             )
 
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return kept.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
@@ -312,8 +315,12 @@ def identify(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns as they were, whose language is told with ``min_score`` at least."""
+    """The rows of ``docs``, all columns as they were, whose language is told with ``min_score`` at least.
+
+    Rows with a null text, or a text without a letter, go; rows that repeat stay as often as they
+    stand; an empty table gives no rows. Other columns may have any names.
+    """
     model = fit(docs)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    row = F.struct(*[quoted(c) for c in docs.columns]).alias("_row")
     found = predict(docs.select("text", row), model, ("_row",))
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("_row.*")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import WORD, same, unit
+from pixelloom.llm.common import WORD, quoted, same, unit
 from pixelloom.session import StoredTable
 
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2.0, 11
@@ -78,8 +78,12 @@ def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with all columns as they were."""
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    """The rows of ``docs``, each as often as the mix takes it, with all columns as they were.
+
+    A null or empty text has size 0 and so a rate of its source's like any other; a row whose source
+    has no words is not taken; rows that repeat are drawn alike; an empty table gives no rows.
+    """
+    kept = F.struct(*[quoted(c) for c in docs.columns]).alias("_row")
     sized = docs.select("doc_id", "source", words().alias("size"), kept)
     mixed = with_copies(sized, source_targets(sized.select("source", "size")), seed)
     repeated = mixed.filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.llm.common import quoted
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -134,27 +136,51 @@ SPOKEN_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\s{1,2}at\s{1,2}(?=[A-Za-z0-9-])",
 
 
 class Traced:
-    """A text with, for each of its characters, the source span it stands for."""
+    """A rewritten text that knows for each of its characters the source span it stands for.
+
+    The text is a row of segments, each either copied from the source or standing for one span of it;
+    what is kept grows with the rewrites, not with the text.
+    """
 
     def __init__(self, text: str):
         self.text = text
-        self.starts: list[int] = list(range(len(text)))
-        self.ends: list[int] = list(range(1, len(text) + 1))
+        # where a segment begins here and in the source, and where its span ends, -1 if it is a copy
+        self.at, self.src, self.end = [0], [0], [-1]
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
-        """Replace spans by shorter or equal texts; each new character stands for the whole span."""
+        """Replace spans by other texts; each new character stands for the whole span."""
         if not edits:
             return
-        out, starts, ends, at = [], [], [], 0
+        pieces, at, src, end, length, done = [], [], [], [], 0, 0
         for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
-            out += [self.text[at:a], new]
-            starts += self.starts[at:a] + [self.starts[a]] * len(new) if new else self.starts[at:a]
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new) if new else self.ends[at:a]
-            at = b
-        self.text, self.starts, self.ends = "".join(out), starts, ends
+            if done < a:
+                pieces.append(self.text[done:a])
+                k = bisect_right(self.at, done) - 1
+                while k < len(self.at) and self.at[k] < a:
+                    begin = max(self.at[k], done)
+                    at.append(length + begin - done)
+                    src.append(self.src[k] + (begin - self.at[k] if self.end[k] < 0 else 0))
+                    end.append(self.end[k])
+                    k += 1
+                length += a - done
+            if new:
+                pieces.append(new)
+                at.append(length)
+                first, last = self.source((a, b))
+                src.append(first)
+                end.append(last)
+                length += len(new)
+            done = b
+        self.text, self.at, self.src, self.end = "".join(pieces), at or [0], src or [0], end or [-1]
+
+    def start(self, place: int) -> int:
+        k = bisect_right(self.at, place) - 1
+        return self.src[k] + (place - self.at[k] if self.end[k] < 0 else 0)
 
     def source(self, span: Span) -> Span:
-        return self.starts[span[0]], self.ends[span[1] - 1]
+        last = span[1] - 1
+        k = bisect_right(self.at, last) - 1
+        return self.start(span[0]), self.src[k] + last - self.at[k] + 1 if self.end[k] < 0 else self.end[k]
 
 
 def _number_words(text: str) -> list[tuple[int, int, str]]:
@@ -208,7 +234,7 @@ def _unspoken(traced: Traced, source: str) -> Traced:
     edits = []
     for at in SPOKEN_AT.finditer(traced.text):
         domain = DOMAIN.match(traced.text, at.end())
-        if domain and any(c == "." and source[traced.starts[k]] != "." for k, c in enumerate(domain.group(), at.end())):
+        if domain and any(c == "." and source[traced.start(k)] != "." for k, c in enumerate(domain.group(), at.end())):
             edits.append((*at.span(), "@"))
     traced.rewrite(edits)
     return traced
@@ -322,15 +348,21 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with the spans in ``text`` replaced; ``n_chars``, if there, follows the new text."""
-    names = docs.columns
+    """``docs`` with the spans in ``text`` replaced; ``n_chars``, if there, follows the new text.
+
+    A null or empty text stays as it is; rows that repeat are rows of their own; an empty table gives
+    no rows. Other columns may have any names.
+    """
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rows = docs.select(F.struct(*[quoted(c) for c in others]).alias("_row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
         for batch in batches:
-            columns = list(batch.columns)
-            columns[at] = pa.array([redacted(text.as_py()) for text in batch.column(at)], batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    cleaned = docs.mapInArrow(run, docs.schema)
-    return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else cleaned
+            texts = pa.array([redacted(text.as_py()) for text in batch.column(1)], batch.schema.field(1).type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], schema=batch.schema)
+
+    cleaned = rows.mapInArrow(run, rows.schema)
+    own = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return cleaned.select(*[own[c] if c in own else F.col("_row").getField(c).alias(c) for c in docs.columns])

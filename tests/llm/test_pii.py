@@ -1,6 +1,7 @@
 """Matchers against the stated patterns; disguises mapped back to the source."""
 
 import re
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -162,3 +163,49 @@ def test_query_rows(spark):
 def test_redaction_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "mail a@b.example", 16), (2, None, None)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in pii.redact(df).orderBy("doc_id").collect()] == [(1, "mail <EMAIL>", 12), (2, None, None)]
+
+
+class Plain:
+    """The tracing of ``pii.Traced`` with two whole numbers for every character."""
+
+    def __init__(self, text):
+        self.text, self.spans = text, [(k, k + 1) for k in range(len(text))]
+
+    def rewrite(self, edits):
+        out, spans, at = [], [], 0
+        for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
+            out += [self.text[at:a], new]
+            spans += self.spans[at:a] + [(self.spans[a][0], self.spans[b - 1][1]) if new else None] * len(new)
+            at = b
+        self.text, self.spans = "".join(out), spans
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="abcdef", min_size=1, max_size=30), st.lists(st.lists(st.tuples(st.integers(0, 29), st.integers(1, 4), st.sampled_from(["", "x", "yz"])), max_size=6), max_size=3))
+def test_tracing_against_a_list_per_character(text, rounds):
+    traced, plain = pii.Traced(text), Plain(text)
+    for wanted in rounds:
+        edits, done = [], 0
+        for a, n, new in sorted(wanted):
+            if done <= a and a + n <= len(plain.text):
+                edits.append((a, a + n, new))
+                done = a + n
+        traced.rewrite(edits)
+        plain.rewrite(edits)
+        assert traced.text == plain.text
+        for a in range(len(plain.text)):
+            for b in range(a + 1, len(plain.text) + 1):
+                assert traced.source((a, b)) == (plain.spans[a][0], plain.spans[b - 1][1])
+
+
+def test_disguises_in_a_very_long_text_take_little_memory():
+    filler = "plain words of a long text without anything to find in them. " * 245_000
+    text = "а" + filler + "write to ann (at) mail [dot] example.com or call +1 555 one two 3 4567 " + filler
+    assert len(text) > 29_000_000
+    tracemalloc.start()
+    base, found = pii.find(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [text[a:b] for a, b in found["email"]] == ["ann (at) mail [dot] example.com"]
+    assert [text[a:b] for a, b in found["phone"]] == ["+1 555 one two 3 4567"] and base["email"] == []
+    assert peak < 500e6
