@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import language, licenses, merkle, mixing, near_documents, near_vectors, nearest, packing, pii, token_files, urls
+from pixelloom.llm import hard_negatives, language, licenses, merkle, mixing, near_documents, near_vectors, nearest, packing, pii, token_files, urls
 from pixelloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(merkle.CHECK)
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(read(spark, sf_dir, "documents"))
+
+
+@query(hard_negatives.CHECK)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_embeddings(read(spark, sf_dir, "embeddings"))
