@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import hard_negatives, language, licenses, merkle, mixing, near_documents, near_vectors, nearest, packing, pii, token_files, urls
+from pixelloom.llm import hard_negatives, language, licenses, main_text, merkle, mixing, near_documents, near_vectors, nearest, packing, pii, token_files, urls
 from pixelloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(hard_negatives.CHECK)
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine_embeddings(read(spark, sf_dir, "embeddings"))
+
+
+@query(main_text.CHECK)
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(read(spark, sf_dir, "pages"))
