@@ -131,7 +131,8 @@ def fit(spark: SparkSession, labelled: DataFrame | None = None, max_pages: int =
 
     Of more than ``max_pages`` those of the smallest hashes are taken.
     """
-    if labelled is None:
+    composed = labelled is None
+    if composed:
         source = spark.range(0, 1, 1, 1)
     else:
         order = F.xxhash64("html", "text", F.lit(seed))
@@ -139,7 +140,7 @@ def fit(spark: SparkSession, labelled: DataFrame | None = None, max_pages: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = [batch.to_pydict() for batch in batches]
-        model = learn(page_samples.pages(max_pages, seed) if labelled is None else [p for g in given for p in zip(g["html"], g["text"])])
+        model = learn(page_samples.pages(max_pages, seed) if composed else [p for g in given for p in zip(g["html"], g["text"])])
         steps = [(f"{k}{a}{b}", model.steps[k][a][b]) for k in range(3) for a in range(2) for b in range(2)]
         names, values = zip(*model.weights.items(), *steps)
         kinds = ["feature"] * len(model.weights) + ["step"] * len(steps)
