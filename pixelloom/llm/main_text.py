@@ -147,6 +147,8 @@ def fit(spark: SparkSession, labelled: DataFrame | None = None, max_pages: int =
         yield pa.record_batch([pa.array(kinds), pa.array(names), pa.array(values, pa.float64())], names=["kind", "name", "value"])
 
     rows = source.mapInArrow(run, "kind string, name string, value double").collect()
+    if not rows:  # no partition at all
+        return learn([])
     steps = {r.name: r.value for r in rows if r.kind == "step"}
     return Model({r.name: r.value for r in rows if r.kind == "feature"}, [[[steps[f"{k}{a}{b}"] for b in "01"] for a in "01"] for k in "012"])
 
