@@ -35,6 +35,11 @@ def animal_of(session: Column | str) -> Column:
     return F.substring_index(col(session), "-", 1)
 
 
+def column_name(parameter: str) -> str:
+    """The column that holds a parameter in a table of parameters."""
+    return parameter.lower().replace(" ", "_").replace("-", "_")
+
+
 def default_roi_name(image_name: Column | str) -> Column:
     return F.concat(F.substring_index(col(image_name), "_ref_mat", 1), F.lit("_ROI_dict.npy"))
 

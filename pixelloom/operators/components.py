@@ -84,8 +84,14 @@ def _with_roots(planes: Sequence[str], tile: int):
     return run
 
 
-def _with_labels(planes: Sequence[str], tile: int, min_size: int | None, max_size: int | None):
-    """Root, area test and numbering in one pass, for images that are one tile."""
+def _with_labels(planes: Sequence[str], tile: int, min_size: int | str | None, max_size: int | str | None):
+    """Root, area test and numbering in one pass, for images that are one tile.
+
+    A bound may be the name of a column that is the same all over an image.
+    """
+
+    def bound(table: pa.Table, size: int | str) -> int:
+        return table.column(size)[0].as_py() if isinstance(size, str) else size
 
     def run(table: pa.Table) -> pa.Table:
         plane, root = _tile_roots(table, planes, tile)
@@ -97,9 +103,9 @@ def _with_labels(planes: Sequence[str], tile: int, min_size: int | None, max_siz
         area = np.bincount(part)
         keep = np.ones(len(area), dtype=bool)
         if min_size is not None:
-            keep &= area >= min_size
+            keep &= area >= bound(table, min_size)
         if max_size is not None:
-            keep &= area <= max_size
+            keep &= area <= bound(table, max_size)
         owner = p[fresh]
         upto = np.cumsum(keep)
         # numbering starts again at each plane
@@ -305,6 +311,33 @@ def probability_to_labels(
     )
 
 
+def labels_at_points(
+    prob: DataFrame, points: DataFrame, keys: Sequence[str] = ("session",), tile: int = TILE, max_side: int | None = None,
+) -> DataFrame:
+    """``probability_to_labels`` with each image's own operating point.
+
+    ``points(keys, threshold, min_size, max_size)`` has a row for each image that is wanted; a null
+    size bound is no bound. The point travels with the pixels to their tile: images that fit one
+    tile are finished there; for larger ones it meets the table of component sizes.
+    """
+    keys = list(keys)
+    own = points.select(
+        *keys, F.col("threshold").cast("double").alias("_threshold"),
+        F.coalesce(F.col("min_size").cast("bigint"), F.lit(0)).alias("_least"),
+        F.coalesce(F.col("max_size").cast("bigint"), F.lit((1 << 62))).alias("_most"),
+    )
+    met = salted_join(prob.select(*keys, "y", "x", "probability"), own, keys, ["y"], "inner")
+    mask = met.filter("probability >= _threshold").select(*keys, "y", "x", "_least", "_most")
+    if max_side is not None and max_side <= tile:
+        field = T.StructField("label", T.IntegerType())
+        helper = _with_labels((), tile, "_least", "_most")
+        return _tiled(_cells(mask), keys, (), tile, True, max_side, helper, field).select(*keys, "y", "x", "label")
+    rooted = label_components(mask, keys, tile, max_side)
+    sizes = rooted.groupBy(*keys, "root").agg(F.count("*").alias("area"), F.first("_least").alias("_least"), F.first("_most").alias("_most"))
+    names = number_components(sizes.filter("area >= _least and area <= _most").select(*keys, "root"), keys).select(*keys, "root", "label")
+    return salted_join(rooted, names, [*keys, "root"], ["y"], "inner", salts=8).select(*keys, "y", "x", "label")
+
+
 def filter_labels(
     labels: DataFrame,
     min_size: int = 30,

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.operators.components import probability_to_labels, relabel_map
+from pixelloom.operators.components import labels_at_points, probability_to_labels, relabel_map
 from pixelloom.operators.spread import bucketed_row_number, salted_join
 from pixelloom.session import StoredTable
 
@@ -170,9 +170,19 @@ def merge_selected(state: Curation) -> Curation:
     return Curation(labels, selected, fixed)
 
 
-def rebuild(prob: DataFrame, threshold: float, min_size: int, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """ROIs from a kept probability table; the selection and fixed marks are emptied."""
-    labels = probability_to_labels(prob, threshold, min_size, **options)
+def rebuild(
+    prob: DataFrame, threshold: float | DataFrame, min_size: int | None = None, **options
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """ROIs from a kept probability table; the selection and fixed marks are emptied.
+
+    ``threshold`` may be a table ``(session, threshold, min_size)`` of each session's own point; as in
+    a single rebuild, there is no upper bound on sizes.
+    """
+    if isinstance(threshold, DataFrame):
+        points = threshold.select("session", "threshold", "min_size", F.lit(None).cast("int").alias("max_size"))
+        labels = labels_at_points(prob, points, **options)
+    else:
+        labels = probability_to_labels(prob, threshold, min_size, **options)
     nothing = _none(labels.select(*ID))
     return labels, nothing, nothing
 

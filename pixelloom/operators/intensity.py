@@ -81,8 +81,8 @@ def image_percentiles(
 
 
 # --------------------------------------------------------------- normalisation
-def _attach(pixels: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return salted_join(pixels, facts, list(keys), ["y"], "left")
+def _attach(pixels: DataFrame, facts: DataFrame, keys: Sequence[str], spread_by: str = "y") -> DataFrame:
+    return salted_join(pixels, facts, list(keys), [spread_by], "left")
 
 
 def _clip01(value: Column) -> Column:
@@ -181,11 +181,20 @@ def normalise_for_display(
 
 
 def threshold_to_zero(
-    pixels: DataFrame, percentile: float = 85.0, shapes: DataFrame | None = None,
+    pixels: DataFrame, percentile: float | DataFrame = 85.0, shapes: DataFrame | None = None,
     keys: Sequence[str] = ("session",), value: str = "value",
 ) -> DataFrame:
-    """Pixels below the image's percentile become zero; equal ones stay."""
-    cut = image_percentiles(pixels, {"_cut": percentile / 100.0}, shapes, keys, value)
+    """Pixels below the image's percentile become zero; equal ones stay.
+
+    The percentile is one number, or a table ``(keys, percentile)`` with each image's own.
+    """
+    if isinstance(percentile, DataFrame):
+        rows = _attach(
+            _with_background(pixels, shapes, keys, value), percentile.select(*keys, (F.col("percentile") / 100).alias("_p")), keys, value
+        )
+        cut = group_quantiles(rows, [*keys, "_p"], value, {"_cut": "_p"}, weight="_weight").drop("_p")
+    else:
+        cut = image_percentiles(pixels, {"_cut": percentile / 100.0}, shapes, keys, value)
     kept = F.when(F.col(value) < F.col("_cut"), F.lit(0)).otherwise(F.col(value))
     kind = dict(pixels.dtypes)[value]
     rest = [c for c in pixels.columns if c != value]
@@ -255,36 +264,65 @@ def _shift(name: str, by: int, window) -> Column:
     return F.lag(name, -by).over(window) if by < 0 else F.lead(name, by).over(window)
 
 
+def _footprint(kernel: int) -> tuple[dict[int, int], dict[int, int]]:
+    """Half width of each row, and half height of each column, of an elliptical kernel; even sizes grow by one."""
+    size = int(kernel) + (1 - int(kernel) % 2)
+    r = size // 2
+    widths = dict(zip(range(-r, r + 1), ellipse_half_widths(size)))
+    heights = {dx: max(abs(dy) for dy in widths if widths[dy] >= abs(dx)) for dx in range(-r, r + 1)
+               if any(widths[dy] >= abs(dx) for dy in widths)}
+    return widths, heights
+
+
+def _of_kernel(name: str, parts: dict[int, list[Column]], pick) -> Column:
+    """``pick`` of the parts of the row's own kernel."""
+    out = None
+    for size, own in parts.items():
+        best = pick(*own) if len(own) > 1 else own[0]
+        here = F.col(name) == size
+        out = F.when(here, best) if out is None else out.when(here, best)
+    return out
+
+
 def top_hat(
-    dense: DataFrame, kernel: int = 11, keys: Sequence[str] = ("session",), value: str = "value"
+    dense: DataFrame, kernel: int | DataFrame = 11, keys: Sequence[str] = ("session",), value: str = "value"
 ) -> DataFrame:
     """Value minus its opening with an elliptical footprint clipped at the edges.
 
     The footprint is a stack of horizontal spans, so erosion is a sliding minimum per
     span along rows and then a minimum of shifted rows along columns; dilation goes
     the other way round, so the whole filter changes partitioning twice.
+
+    ``kernel`` is one size, or a table ``(keys, kernel)`` with each image's own. All sizes
+    share the sorts and the sliding minima of equal spans; the sizes in use are read from
+    the table, and are no more than the parameter's range allows.
     """
-    size = int(kernel) + (1 - int(kernel) % 2)
-    r = size // 2
-    widths = dict(zip(range(-r, r + 1), ellipse_half_widths(size)))
-    heights = {dx: max(abs(dy) for dy in widths if widths[dy] >= abs(dx)) for dx in range(-r, r + 1)
-               if any(widths[dy] >= abs(dx) for dy in widths)}
-    row, column = _lines(keys)
     names = [c for c in dense.columns if c != value]
+    if isinstance(kernel, DataFrame):
+        sizes = kernel.select(*keys, F.col("kernel").cast("int").alias("_kernel"))
+        used = sorted(r[0] for r in sizes.select("_kernel").distinct().collect())
+        if not used:
+            return dense.limit(0)
+        dense = salted_join(dense, sizes, list(keys), ["y"], "inner")
+    else:
+        used = [int(kernel)]
+        dense = dense.withColumn("_kernel", F.lit(used[0]))
+    prints = {k: _footprint(k) for k in used}
+    row, column = _lines(keys)
+    held = [*names, "_kernel", value]
 
-    spans = sorted(set(widths.values()))
-    low = dense.select("*", *[
+    spans = sorted({w for widths, _ in prints.values() for w in widths.values()})
+    low = dense.select(*held, *[
         F.min(value).over(row.rowsBetween(-w, w)).alias(f"_e{w}") for w in spans
     ])
-    parts = [_shift(f"_e{w}", dy, column) for dy, w in widths.items()]
-    eroded = low.select(*names, value, (F.least(*parts) if len(parts) > 1 else parts[0]).alias("_er"))
-    tall = sorted(set(heights.values()))
+    shifted = {k: [_shift(f"_e{w}", dy, column) for dy, w in widths.items()] for k, (widths, _) in prints.items()}
+    eroded = low.select(*held, _of_kernel("_kernel", shifted, F.least).alias("_er"))
+    tall = sorted({h for _, heights in prints.values() for h in heights.values()})
     high = eroded.select("*", *[
         F.max("_er").over(column.rowsBetween(-h, h)).alias(f"_d{h}") for h in tall
     ])
-    parts = [_shift(f"_d{h}", dx, row) for dx, h in heights.items()]
-    opened = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    return high.select(*names, value, opened.alias("_op")).select(
+    shifted = {k: [_shift(f"_d{h}", dx, row) for dx, h in heights.items()] for k, (_, heights) in prints.items()}
+    return high.select(*held, _of_kernel("_kernel", shifted, F.greatest).alias("_op")).select(
         *names, (F.col(value) - F.col("_op")).alias(value)
     )
 
@@ -305,11 +343,13 @@ LEVELS = 256
 
 
 def equalise_tiles(
-    dense: DataFrame, shapes: DataFrame, clip: float = 2.0, keys: Sequence[str] = ("session",),
+    dense: DataFrame, shapes: DataFrame, clip: float | DataFrame = 2.0, keys: Sequence[str] = ("session",),
     value: str = "value",
 ) -> DataFrame:
     """Contrast-limited equalisation on an 8 x 8 grid of tiles for 0..255 values.
 
+    ``clip`` is one limit, or a table ``(keys, clip)`` with each image's own.
+
     Tile histograms are clipped, the excess is spread evenly, and each pixel blends
     the mappings of its four nearest tiles. Mappings are worked out only for the
     (cell, value) pairs that occur, at most 81 * 256 per image; pixels meet them in
@@ -318,8 +358,12 @@ def equalise_tiles(
     keys = list(keys)
     rows, cols = F.col("height"), F.col("width")
     uneven = (rows % TILES != 0) | (cols % TILES != 0)
+    if isinstance(clip, DataFrame):
+        shapes = shapes.join(clip.select(*keys, F.col("clip").cast("double").alias("_clip")), keys)
+    else:
+        shapes = shapes.withColumn("_clip", F.lit(float(clip)))
     sized = shapes.select(
-        *keys, "height", "width",
+        *keys, "height", "width", "_clip",
         F.when(uneven, rows + TILES - rows % TILES).otherwise(rows).alias("_ph"),
         F.when(uneven, cols + TILES - cols % TILES).otherwise(cols).alias("_pw"),
     ).withColumn("_th", (F.col("_ph") / TILES).cast("int")).withColumn("_tw", (F.col("_pw") / TILES).cast("int"))
@@ -330,19 +374,20 @@ def equalise_tiles(
         m = 2 * (F.col(side) - 1) - F.col(c)
         return F.filter(F.array(F.col(c), m), lambda p: (p == F.col(c)) | ((p >= F.col(side)) & (p < F.col(padded))))
 
+    facts = [F.max(c).alias(c) for c in ("_th", "_tw", "_clip")]
     hist = (
         at.withColumn("_py", F.explode(F.array_distinct(mirrored("y", "height", "_ph"))))
         .withColumn("_px", F.explode(F.array_distinct(mirrored("x", "width", "_pw"))))
         .groupBy(
             *keys, F.floor(F.col("_py") / F.col("_th")).cast("int").alias("_ty"),
             F.floor(F.col("_px") / F.col("_tw")).cast("int").alias("_tx"), "_v",
-        ).agg(F.count("*").alias("_n"), F.max("_th").alias("_th"), F.max("_tw").alias("_tw"))
+        ).agg(F.count("*").alias("_n"), *facts)
     )
     fy = F.col("y") / F.col("_th") - 0.5
     fx = F.col("x") / F.col("_tw") - 0.5
     # cell (cy, cx) has tiles cy - 1 and cy above and below it; edge cells repeat a tile
     placed = at.select(
-        *keys, "y", "x", "_v", "_th", "_tw",
+        *keys, "y", "x", "_v", "_th", "_tw", "_clip",
         (F.floor(fy) + 1).cast("int").alias("_cy"), (F.floor(fx) + 1).cast("int").alias("_cx"),
         (fy - F.floor(fy)).alias("_wy"), (fx - F.floor(fx)).alias("_wx"),
     )
@@ -354,18 +399,18 @@ def equalise_tiles(
         return F.greatest(F.lit(0), F.least(F.lit(TILES - 1), F.col(cell) - 1 + F.col(f"_at.{side}")))
 
     asked = (
-        placed.groupBy(*keys, "_cy", "_cx", "_v").agg(F.max("_th").alias("_th"), F.max("_tw").alias("_tw"))
+        placed.groupBy(*keys, "_cy", "_cx", "_v").agg(*facts)
         .select("*", corner)
         .select(
             *keys, tile_of("_cy", "a").alias("_ty"), tile_of("_cx", "b").alias("_tx"), "_v",
-            F.lit(0).cast("bigint").alias("_n"), "_th", "_tw", "_cy", "_cx", "_at",
+            F.lit(0).cast("bigint").alias("_n"), "_th", "_tw", "_clip", "_cy", "_cx", "_at",
         )
     )
     # a tile sees its own counts and the values asked of it: at most 256 + 4 * 256 rows
     tile = Window.partitionBy(*keys, "_ty", "_tx")
     upto = tile.orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     area = F.col("_th") * F.col("_tw")
-    limit = F.greatest(F.floor(F.lit(float(clip)) * area / LEVELS), F.lit(1)).cast("bigint")
+    limit = F.greatest(F.floor(F.col("_clip") * area / LEVELS), F.lit(1)).cast("bigint")
     spread = (
         hist.unionByName(asked, allowMissingColumns=True)
         .withColumn("_limit", limit)
@@ -392,7 +437,7 @@ def equalise_tiles(
 
 
 def enhance_contrast(
-    dense: DataFrame, shapes: DataFrame, kernel: int = 11, clip: float = 2.0,
+    dense: DataFrame, shapes: DataFrame, kernel: int | DataFrame = 11, clip: float | DataFrame = 2.0,
     keys: Sequence[str] = ("session",), value: str = "value",
 ) -> DataFrame:
     """Byte scaling, top-hat and tile equalisation.

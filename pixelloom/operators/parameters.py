@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelloom.functions.scalars import column_name
 from pixelloom.operators.intensity import contrast_and_brightness
 from pixelloom.operators.spread import group_quantiles
 
@@ -78,10 +79,6 @@ def recommend(
     return facts.select(*keys, "contrast", "bright_fraction", *out)
 
 
-def column_name(parameter: str) -> str:
-    return parameter.lower().replace(" ", "_").replace("-", "_")
-
-
 def resolve_operating_point(
     requests: DataFrame, registry: DataFrame, checkpoints: DataFrame
 ) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.functions.scalars import key_column, key_row
+from pixelloom.functions.scalars import column_name, key_column, key_row
 from pixelloom.operators.components import TILE, label_runs
 from pixelloom.operators.spread import bucketed_row_number, salted_join
 from pixelloom.operators.trees import component_tree, pixel_runs, stable_nodes
@@ -69,35 +69,56 @@ def split_runs(runs: DataFrame, tile: int) -> DataFrame:
     )
 
 
-def _parents(runs: DataFrame, regions: DataFrame, keys: Sequence[str], apart: int = 1, out: str = "parent") -> DataFrame:
-    """For each region, the region ``apart`` levels lower that holds its first pixel.
+def _parents(runs: DataFrame, regions: DataFrame, keys: Sequence[str], apart: str | None = None, out: str = "parent") -> DataFrame:
+    """For each region, the region one level lower that holds its first pixel, or as many as its column ``apart`` says.
 
     An as-of lookup inside a scanline: first pixels and the runs of the lower level
     are merged in x order and the last run seen covers the pixel.
     """
+    steps = F.col(apart) if apart else F.lit(1)
     seeds = regions.select(
-        *keys, "polarity", (F.col("level") - apart).alias("level"), key_row("root").alias("y"),
+        *keys, "polarity", (F.col("level") - steps).alias("level"), F.col("level").alias("_of"), key_row("root").alias("y"),
         key_column("root").alias("x"), F.lit(1).alias("_seed"), F.col("root").alias("_child"),
         F.lit(None).cast("bigint").alias("_root"),
     )
     spans = runs.select(
         *keys, *LEVEL, "y", F.col("x0").alias("x"), F.lit(0).alias("_seed"),
-        F.lit(None).cast("bigint").alias("_child"), F.col("root").alias("_root"),
+        F.lit(None).cast("bigint").alias("_child"), F.col("root").alias("_root"), F.lit(None).cast("int").alias("_of"),
     )
     line = Window.partitionBy(*keys, *LEVEL, "y").orderBy("x", "_seed").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     merged = seeds.unionByName(spans).withColumn("_holder", F.last("_root", ignorenulls=True).over(line))
     return merged.filter("_seed = 1").select(
-        *keys, "polarity", (F.col("level") + apart).alias("level"), F.col("_child").alias("root"),
-        F.col("_holder").alias(out),
+        *keys, "polarity", F.col("_of").alias("level"), F.col("_child").alias("root"), F.col("_holder").alias(out),
     )
 
 
-def _stable_in_images(
-    image: DataFrame, delta: int, min_area: int, max_area: int, max_variation: float, keys: Sequence[str], side: int
-) -> DataFrame:
+#: What bounds stable regions, by column, and how it is brought into range.
+LIMITS = ["_delta", "_least", "_most", "_varies"]
+
+
+def _limited(image: DataFrame, params: DataFrame | None, keys: Sequence[str], fixed: tuple) -> DataFrame:
+    """``image`` with the columns ``LIMITS``: each image's own of ``params``, or the fixed ones."""
+    if params is None:
+        return image.select("*", *[F.lit(v).alias(c) for c, v in zip(LIMITS, _in_range(*fixed))])
+    delta, least, most, varies = (F.col(column_name(n)) for n in ("MSER delta", "MSER min area", "MSER max area", "MSER max variation"))
+    least = F.greatest(F.lit(5), F.bround(least.cast("double"), 0).cast("int"))
+    own = params.select(
+        *keys, F.greatest(F.lit(1), F.bround(delta.cast("double"), 0).cast("int")).alias("_delta"), least.alias("_least"),
+        F.greatest(least + 1, F.bround(most.cast("double"), 0).cast("int")).alias("_most"), varies.cast("double").alias("_varies"),
+    )
+    return salted_join(image, own, keys, [c for c in ("y", "root") if c in image.columns], "inner")
+
+
+def _in_range(delta: float, min_area: float, max_area: float, max_variation: float) -> tuple[int, int, int, float]:
+    least = max(5, round(min_area))
+    return max(1, round(delta)), least, max(least + 1, round(max_area)), float(max_variation)
+
+
+def _stable_in_images(limited: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
     """Stable regions, with their runs, of images of at most ``side`` rows and columns: a tree per polarity."""
+    image = limited
     kinds = dict(image.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + (
         ", polarity int, level int, root long, area long, variation double, spans array<struct<y:int,x0:int,x1:int>>"
@@ -112,19 +133,19 @@ def _stable_in_images(
             levels = np.zeros((y.max() + 1, x.max() + 1), np.int64)
             levels[y, x] = frame["value"].to_numpy() if polarity == BRIGHT else 255 - frame["value"].to_numpy()
             tree, width = component_tree(levels), levels.shape[1]
-            for node, level, variation in zip(*stable_nodes(tree, delta, min_area, max_area, max_variation)):
+            for node, level, variation in zip(*stable_nodes(tree, *(frame[c].iloc[0] for c in LIMITS))):
                 first = int(tree.first[node])
                 spans = [dict(zip(("y", "x0", "x1"), map(int, s))) for s in zip(*pixel_runs(tree, node, width))]
                 rows.append((*key, polarity, int(level), (first // width << 32) + first % width, int(tree.area[node]), float(variation), spans))
         return pd.DataFrame(rows, columns=[*keys, "polarity", "level", "root", "area", "variation", "spans"])
 
-    return image.select(*keys, "y", "x", "value").groupBy(*keys).applyInPandas(run, schema)
+    return image.select(*keys, "y", "x", "value", *LIMITS).groupBy(*keys).applyInPandas(run, schema)
 
 
 def stable_regions(
     image: DataFrame, delta: int = 5, min_area: int = 30, max_area: int = 15000,
     max_variation: float = 1.2, keys: Sequence[str] = ("session",), tile: int = TILE,
-    max_side: int | None = None,
+    max_side: int | None = None, params: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Regions that change least across grey levels, and their runs.
 
@@ -135,15 +156,14 @@ def stable_regions(
     ``delta`` levels below it has no variation.
 
     Images of at most ``max_side`` rows and columns, if that fits a tile, are worked one by one
-    by their component tree; others by runs of every level, tile by tile.
+    by their component tree; others by runs of every level, tile by tile. With ``params``, a table of
+    each image's own parameters, these replace the four numbers.
     """
     keys = list(keys)
-    delta = max(1, round(delta))
-    min_area = max(5, round(min_area))
-    max_area = max(min_area + 1, round(max_area))
+    fixed = (delta, min_area, max_area, max_variation)
     levels = [*keys, *LEVEL]
     if max_side is not None and max_side <= tile:
-        found = StoredTable(_stable_in_images(image, delta, min_area, max_area, max_variation, keys, max_side)).df
+        found = StoredTable(_stable_in_images(_limited(image, params, keys, fixed), keys, max_side)).df
         numbered = _numbered(found.drop("spans"), keys)
         span = F.explode("spans").alias("s")
         spans = found.select(*levels, "root", span).join(numbered.select(*levels, "root", "region"), [*levels, "root"])
@@ -151,34 +171,36 @@ def stable_regions(
     runs = level_runs(image, 1, keys)
     # read by the area count, the lookups and the final selection
     rooted = StoredTable(label_runs(split_runs(runs, tile), levels, tile, max_side, LEVEL)).df
-    regions = StoredTable(rooted.groupBy(*levels, "root").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))).df
+    regions = rooted.groupBy(*levels, "root").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
+    regions = StoredTable(_limited(regions, params, keys, fixed)).df
     linked = regions.join(_parents(rooted, regions, keys), [*levels, "root"], "left").join(
-        _parents(rooted, regions, keys, delta, "far"), [*levels, "root"], "left"
+        _parents(rooted, regions, keys, "_delta", "far"), [*levels, "root"], "left"
     )
     linked = StoredTable(linked).df
 
-    def lookup(df: DataFrame, of: DataFrame, apart: int, name: str, fact: Column) -> DataFrame:
-        facts = of.select(*keys, "polarity", (F.col("level") + apart).alias("level"), F.col("root").alias(name), fact)
-        return df.join(facts, [*levels, name], "left")
+    def lookup(df: DataFrame, of: DataFrame, apart: Column, name: str, fact: Column) -> DataFrame:
+        """A fact of the region ``name``, which lies ``apart`` levels lower."""
+        facts = of.select(*keys, "polarity", F.col("level").alias("_low"), F.col("root").alias(name), fact)
+        return df.withColumn("_low", F.col("level") - apart).join(facts, [*keys, "polarity", "_low", name], "left").drop("_low")
 
-    def inside(df: DataFrame, apart: int, name: str, fact: Column) -> DataFrame:
+    def inside(df: DataFrame, apart: Column, name: str, fact: Column) -> DataFrame:
         """Facts of the regions ``apart`` levels higher, gathered on the one that holds them."""
         return df.filter(F.col(name).isNotNull()).groupBy(
             *keys, "polarity", (F.col("level") - apart).alias("level"), F.col(name).alias("root")
         ).agg(fact)
 
-    sized = lookup(linked, regions, delta, "far", F.col("area").alias("_outer"))
-    inner = inside(linked, delta, "far", F.max("area").alias("_inner"))
+    sized = lookup(linked, regions, F.col("_delta"), "far", F.col("area").alias("_outer"))
+    inner = inside(linked, F.col("_delta"), "far", F.max("area").alias("_inner"))
     varied = StoredTable(sized.join(inner, [*levels, "root"], "left").withColumn(
         "variation", (F.col("_outer") - F.coalesce("_inner", F.lit(0))) / F.col("area")
-    ).select(*levels, "root", "parent", "area", "variation")).df
+    ).select(*levels, "root", "parent", "area", "variation", *LIMITS)).df
     main = F.max(F.struct("area", (-F.col("root")).alias("r"), "variation")).alias("_main")
-    judged = lookup(varied, varied, 1, "parent", F.col("variation").alias("_pv")).join(
-        inside(varied, 1, "parent", main), [*levels, "root"], "left"
+    judged = lookup(varied, varied, F.lit(1), "parent", F.col("variation").alias("_pv")).join(
+        inside(varied, F.lit(1), "parent", main), [*levels, "root"], "left"
     )
     v = F.col("variation")
     stable = judged.filter(
-        (v <= max_variation) & (F.col("area") >= min_area) & (F.col("area") <= max_area)
+        (v <= F.col("_varies")) & (F.col("area") >= F.col("_least")) & (F.col("area") <= F.col("_most"))
         & (F.col("_pv").isNull() | (v <= F.col("_pv")))
         & (F.col("_main.variation").isNull() | (v < F.col("_main.variation")))
     ).select(*levels, "root", "area", "variation")
@@ -219,11 +241,14 @@ def run_statistics(
 
 
 def candidate_labels(
-    image: DataFrame, params: Mapping[str, float], tile: int = TILE, max_side: int | None = None
+    image: DataFrame, params: Mapping[str, float] | DataFrame, tile: int = TILE, max_side: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Stable regions of a prepared image and the label rows they draw."""
-    regions, spans = stable_regions(
-        image, params["MSER delta"], params["MSER min area"], params["MSER max area"],
-        params["MSER max variation"], tile=tile, max_side=max_side,
-    )
+    if isinstance(params, DataFrame):
+        regions, spans = stable_regions(image, tile=tile, max_side=max_side, params=params)
+    else:
+        regions, spans = stable_regions(
+            image, params["MSER delta"], params["MSER min area"], params["MSER max area"],
+            params["MSER max variation"], tile=tile, max_side=max_side,
+        )
     return regions, regions_to_labels(spans)

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from pixelloom.functions.scalars import column_name
+from pixelloom.operators.hull import convex_hulls
+from pixelloom.operators.spread import salted_join
+from pixelloom.session import StoredTable
 
 # fixed values: contour codes of the perimeter estimate and the length each stands for
 STRAIGHT_CODES = (5, 7, 15, 17, 25, 27)
@@ -76,51 +78,9 @@ def perimeter(labels: DataFrame, keys: Sequence[str] = ("session",)) -> DataFram
     return codes.groupBy(*keys, "label").agg(F.sum(length).alias("perimeter"))
 
 
-def _span(ys: np.ndarray, xs: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Lower edge, at each row, of the convex hull of points (y, x)."""
-    order = np.lexsort((xs, ys))
-    hull: list[tuple[float, float]] = []
-    for p in zip(ys[order], xs[order]):
-        if hull and p[0] == hull[-1][0]:
-            continue
-        while len(hull) > 1 and (
-            (hull[-1][1] - hull[-2][1]) * (p[0] - hull[-2][0]) >= (p[1] - hull[-2][1]) * (hull[-1][0] - hull[-2][0])
-        ):
-            hull.pop()
-        hull.append(p)
-    return np.interp(rows, [h[0] for h in hull], [h[1] for h in hull])
-
-
-def _convex_area(ys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> int:
-    """Pixels whose centre lies in the hull of the pixel edges' midpoints."""
-    rows = np.arange(ys.min(), ys.max() + 1)
-    py = np.concatenate([ys, ys - 0.5, ys + 0.5])
-    left = _span(py, np.concatenate([lo - 0.5, lo, lo]).astype(float), rows)
-    right = -_span(py, -np.concatenate([hi + 0.5, hi, hi]).astype(float), rows)
-    return int((np.floor(right + 1e-9) - np.ceil(left - 1e-9) + 1).sum())
-
-
-@F.pandas_udf(T.LongType())
-def convex_area(ys: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
-    return pd.Series([_convex_area(*spans) for spans in zip(ys, lo, hi)], dtype="int64")
-
-
 def solidity(labels: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
-    """Area over the pixel area of the convex hull.
-
-    Each region is first reduced to its two ends per image row, so the helper sees at
-    most one entry per image row whatever the region's area.
-    """
-    rows = labels.groupBy(*keys, "label", "y").agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")
-    )
-    regions = rows.groupBy(*keys, "label").agg(
-        F.sum("n").alias("area"), F.collect_list(F.struct("y", "lo", "hi")).alias("spans")
-    )
-    hulled = regions.select(
-        *keys, "label", "area",
-        convex_area("spans.y", "spans.lo", "spans.hi").alias("convex_area"),
-    )
+    """Area over the pixel area of the convex hull."""
+    hulled = convex_hulls(labels, keys)
     return hulled.select(*keys, "label", "convex_area", (F.col("area") / F.col("convex_area")).alias("solidity"))
 
 
@@ -131,17 +91,54 @@ def shape_metrics(labels: DataFrame, keys: Sequence[str] = ("session",)) -> Data
     return out.withColumn("thinness", 4 * math.pi * F.col("area") / (floor * floor))
 
 
-def keeps_shape(params: Mapping[str, float]) -> Column:
-    """The candidate test; values on a bound are kept, non-finite shape counts as zero."""
+#: Candidate tests in order of cost: a test's name, its measure, and whether the bound is a least one.
+BOUNDS = [
+    ("area min", "area", True), ("eccentricity min", "eccentricity", True), ("aspect ratio min", "aspect_ratio", True),
+    ("thinness max", "thinness", False), ("solidity min", "solidity", True),
+]
+
+
+def keeps_shape(params: Mapping[str, float | Column], measures: Sequence[str] | None = None) -> Column:
+    """The candidate test; values on a bound are kept, non-finite shape counts as zero.
+
+    Bounds are numbers or columns. With ``measures`` only the tests of these are made.
+    """
 
     def finite(c: str) -> Column:
         v = F.col(c)
-        return F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(v)
-
-    return (
-        (F.col("area") >= params["area min"])
-        & (finite("solidity") >= params["solidity min"])
-        & (finite("eccentricity") >= params["eccentricity min"])
-        & (F.col("aspect_ratio") >= params["aspect ratio min"])
-        & (F.col("thinness") <= params["thinness max"])
-    )
+        return F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(v) if c in ("solidity", "eccentricity") else v
+
+    test = F.lit(True)
+    for name, measure, least in BOUNDS:
+        if measures is None or measure in measures:
+            test = test & (finite(measure) >= params[name] if least else finite(measure) <= params[name])
+    return test
+
+
+def shape_candidates(
+    labels: DataFrame, params: Mapping[str, float] | DataFrame, keys: Sequence[str] = ("session",)
+) -> DataFrame:
+    """``(keys, label)`` of the regions that pass all tests, the cheap ones first.
+
+    Moments are sums and leave few regions; only these are measured for their perimeter, and only
+    what is then left for its hull. ``params`` is one set of bounds, or a table with each image's own
+    bounds in columns named as by ``column_name``. ``labels`` is read three times and should be stored.
+    """
+    by = [*keys, "label"]
+    if isinstance(params, DataFrame):
+        bounds = {name: F.col(f"_{column_name(name)}") for name, *_ in BOUNDS}
+        own = params.select(*keys, *[F.col(column_name(name)).alias(f"_{column_name(name)}") for name, *_ in BOUNDS])
+        left = salted_join(geometry(labels, keys), own, keys, ["label"], "inner")
+    else:
+        bounds, left = params, geometry(labels, keys)
+    carried = [c for c in left.columns if c.startswith("_")]
+    left = left.filter(keeps_shape(bounds, ("area", "eccentricity", "aspect_ratio"))).select(*by, "area", *carried)
+
+    def of(df: DataFrame) -> DataFrame:
+        return salted_join(labels.select(*by, "y", "x"), df.select(*by), by, ["y"], "inner", salts=8)
+
+    left = StoredTable(left).df
+    thin = perimeter(of(left), keys).withColumn("_floor", F.greatest("perimeter", F.lit(TINY)))
+    left = left.join(thin, by).withColumn("thinness", 4 * math.pi * F.col("area") / (F.col("_floor") * F.col("_floor")))
+    left = StoredTable(left.filter(keeps_shape(bounds, ("thinness",))).select(*by, *carried)).df
+    return left.join(solidity(of(left), keys), by).filter(keeps_shape(bounds, ("solidity",))).select(*by)

@@ -81,7 +81,7 @@ def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    probs: Mapping[str, float],
+    probs: Mapping[str, float | str],
     weight: str | None = None,
     per_bucket: int = 256,
 ) -> DataFrame:
@@ -94,6 +94,7 @@ def group_quantiles(
        own extremes, into as many as their number of values calls for;
     4. of these the ones that hold a wanted rank are ordered, each on its own.
 
+    A percentile is a number, or the name of one of ``keys`` that holds each group's own.
     ``weight`` counts a row several times (used for the implicit background).
     NaN and null values must be removed by the caller.
     """
@@ -107,8 +108,8 @@ def group_quantiles(
         .withColumn("_b1", _ordered_bits(F.col("_v")))
     )
 
-    def rank(p: float) -> Column:
-        return F.lit(float(p)) * (F.col("_n") - 1)
+    def rank(p: float | str) -> Column:
+        return (F.col(p) if isinstance(p, str) else F.lit(float(p))) * (F.col("_n") - 1)
 
     def hits(upper: Column) -> Column:
         return F.filter("_ranks", lambda k: (k >= upper - F.col("_c")) & (k < upper))

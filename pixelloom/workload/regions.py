@@ -5,15 +5,17 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from pixelloom.functions.scalars import key_column, key_row
+from pixelloom.functions.scalars import column_name, key_column, key_row
 from pixelloom.operators import intensity as I
+from pixelloom.operators import parameters as P
 from pixelloom.operators import proposals as Q
 from pixelloom.operators import scoring as S
 from pixelloom.operators import shape as H
 from pixelloom.plans.prediction import predict_images
-from pixelloom.plans.segmentation import propose_rois
+from pixelloom.plans.segmentation import prepare, propose_rois
 from pixelloom.session import StoredTable
 from pixelloom.workload import shared, views
+from pixelloom.workload.images import EQUAL
 from pixelloom.workload.registry import register
 from pixelloom.workload.views import sql
 
@@ -89,7 +91,7 @@ LOOSE = {"area min": 6, "solidity min": 0.6, "eccentricity min": 0.75, "aspect r
     "pred", **PERIMETER, **HULL))
 def shape_filter(spark, sf):
     labels = StoredTable(shared.predicted_labels(spark, sf)).df
-    return H.shape_metrics(labels).filter(H.keeps_shape(LOOSE)).select("session", "label")
+    return H.shape_candidates(labels, LOOSE)
 
 
 # ----------------------------------------------------------------- stable regions
@@ -139,7 +141,9 @@ def stable_regions(spark, sf):
     )
 
 
-SMALL = {"MSER min area": 5, "MSER max area": 200, "area min": 5, "MSER threshold": 60.0, "tophat kernel": 5}
+# bounds that leave regions of noise, so that there is much to compare
+LOOSE_SHAPE = {"eccentricity min": 0.3, "aspect ratio min": 1.05, "thinness max": 3.0, "solidity min": 0.3}
+SMALL = {"MSER min area": 5, "MSER max area": 200, "area min": 5, "MSER threshold": 60.0, "tophat kernel": 5, "MSER max variation": 4.0, **LOOSE_SHAPE}
 
 
 @register("propose_rois")
@@ -157,6 +161,74 @@ def segmentation_statistics(spark, sf):
     return propose_rois(I.densify(pixels, shapes), shapes, SMALL, max_side=SIDE).stats
 
 
+# ------------------------------------------------------- parameters of each image
+KERNELS, CLIPS, CUTS = (3, 5, 7), (2.0, 32.0, 48.0), (60.0, 75.0, 85.0)
+
+
+def own_parameters(spark, sf):
+    """The advice for each session with, by its number, one of three kernels, clips and thresholds."""
+    advice = P.recommend(views.pixels(spark, sf), shared.target_labels(spark, sf), views.pixel_sessions(spark, sf))
+    turn = F.substring("session", 5, 10).cast("int") % 3
+
+    def one_of(values):
+        return F.element_at(F.array(*map(F.lit, values)), turn + 1)
+
+    return advice.withColumn("tophat_kernel", one_of(KERNELS)).withColumn("clahe_clip", one_of(CLIPS)).withColumn("mser_threshold", one_of(CUTS))
+
+
+def _footprints():
+    cells = [(k, dy, dx) for k in KERNELS for dy, w in zip(range(-(k // 2), k // 2 + 1), I.ellipse_half_widths(k)) for dx in range(-w, w + 1)]
+    return "select * from (values " + ", ".join(map(str, cells)) + ") v(kernel, dy, dx)"
+
+
+# tiles are 4 x 4 pixels, so a clip of 2, 32 and 48 allows 1, 2 and 3 pixels of a value
+PREPARED = {
+    "own": """select distinct session, cast(substr(session, 5, 10) as int) % 3 as turn, [3, 5, 7][cast(substr(session, 5, 10) as int) % 3 + 1] as kernel,
+              cast(substr(session, 5, 10) as int) % 3 + 1 as lim from fx_dense""",
+    "med": """select c.session, c.y, c.x, quantile_cont(cast(n.value as double), 0.5) as value
+              from fx_dense c cross join (values (-1), (0), (1)) a(dy) cross join (values (-1), (0), (1)) b(dx)
+              join fx_dense n on n.session = c.session and n.y = greatest(0, least(31, c.y + a.dy)) and n.x = greatest(0, least(31, c.x + b.dx))
+              group by 1, 2, 3""",
+    "ends": """select session, quantile_cont(value, cast(0.01 as double)) as p1, quantile_cont(value, cast(0.99 as double)) as p99 from med group by 1""",
+    "scaled": """select d.session, d.y, d.x, cast(floor(greatest(0.0, least(1.0, (d.value - p.p1) /
+                 ((case when p.p99 > p.p1 then p.p99 else p.p1 + 1 end) - p.p1))) * 255) as int) as value, o.kernel
+                 from med d join ends p on p.session = d.session join own o on o.session = d.session""",
+    "fp": _footprints(),
+    "er": """select c.session, c.y, c.x, c.kernel, min(n.value) as e from scaled c join fp on fp.kernel = c.kernel
+             join scaled n on n.session = c.session and n.y = c.y + fp.dy and n.x = c.x + fp.dx group by 1, 2, 3, 4""",
+    "op": """select c.session, c.y, c.x, max(n.e) as o from er c join fp on fp.kernel = c.kernel
+             join er n on n.session = c.session and n.y = c.y + fp.dy and n.x = c.x + fp.dx group by 1, 2, 3""",
+    "th": "select d.session, d.y, d.x, d.value - op.o as value from scaled d join op on op.session = d.session and op.y = d.y and op.x = d.x",
+    **EQUAL,
+    "tile": """select h.session, ty, tx, max(lim) as lim, cast(sum(greatest(n - lim, 0)) as bigint) as excess
+               from hist h join own o on o.session = h.session group by 1, 2, 3""",
+    "bins": EQUAL["bins"].replace("least(coalesce(h.n, 0), 1)", "least(coalesce(h.n, 0), t.lim)"),
+    "cuts": """select e.session, case max(turn) when 0 then quantile_cont(e.value, cast(0.6 as double)) when 1 then quantile_cont(e.value, cast(0.75 as double))
+               else quantile_cont(e.value, cast(0.85 as double)) end as cut
+               from (select session, cast(value as double) as value from eq) e join own o on o.session = e.session group by 1""",
+}
+
+
+@register("prepare_with_own_parameters", sql("""
+    select e.session, e.y, e.x, cast(case when e.value < c.cut then 0 else e.value end as int) as value
+    from eq e join cuts c on c.session = e.session""", "fx_dense", **PREPARED))
+def prepare_with_own_parameters(spark, sf):
+    """Median, contrast and cut, each session by its own kernel, clip and threshold."""
+    dense = I.densify(views.pixels(spark, sf), views.pixel_sessions(spark, sf))
+    return prepare(dense, views.pixel_sessions(spark, sf), StoredTable(own_parameters(spark, sf)).df)
+
+
+@register("propose_rois_with_own_parameters")
+def propose_rois_with_own_parameters(spark, sf):
+    """The whole model-free route with the advice of each session for its parameters."""
+    pixels, shapes = views.pixels(spark, sf), views.pixel_sessions(spark, sf)
+    own = own_parameters(spark, sf)
+    for name in ("MSER min area", "MSER max variation", "area min", *LOOSE_SHAPE):
+        own = own.withColumn(column_name(name), F.lit(SMALL[name]))
+    out = propose_rois(I.densify(pixels, shapes), shapes, own, max_side=SIDE)
+    return out.rois.groupBy("session", "label", "is_fixed").agg(F.count("*").alias("area"))
+
+
 # ------------------------------------------------------------------------ scoring
 def ramp_model():
     """A stand-in model whose answer depends on position, so flips matter."""
@@ -223,6 +295,4 @@ def flip_averaged_expression(spark, sf):
 def prediction_bundle(spark, sf):
     out = predict_images(array_images(spark, sf), ramp_model, threshold=0.5, min_size=3, max_side=8)
     areas = out.rois.groupBy("session", "roi_id").agg(F.sum(F.size("xpix")).cast("bigint").alias("area"))
-    return areas.join(out.parameters.select("session", "area_min"), "session").withColumn(
-        "threshold", F.lit(out.threshold)
-    )
+    return areas.join(out.parameters.select("session", "area_min"), "session").join(out.points.select("session", "threshold"), "session")
