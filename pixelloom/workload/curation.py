@@ -6,10 +6,14 @@ four sessions by animal (``A0``) have no selection.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pixelloom.operators import curate as U
-from pixelloom.session import StoredTable
+from pixelloom.operators.history import ChangeLog, marks_of
+from pixelloom.operators.rois import clean_roi_pixels
+from pixelloom.session import StoredTable, shared_dir
 from pixelloom.workload import shared, views
 from pixelloom.workload.registry import register
 from pixelloom.workload.views import sql
@@ -172,6 +176,36 @@ def undo(spark, sf):
     return U.undo(stacked, 1).labels
 
 
+@register("undo_from_log", q("""
+    select 'label' as kind, p.session, cast(p.y as int) as y, cast(p.x as int) as x, n.new_label as label from merged p
+    join names2 n on n.session = p.session and n.label = p.label
+    union all select 'fixed', f.session, null, null, n.new_label from mfix f join names2 n on n.session = f.session and n.label = f.label
+    union all select 'selected', session, null, null, label from sel where session not in (select session from grp)""", **MERGED))
+def undo_from_log(spark, sf):
+    """Labels, selection and marks of a log after two edits, a merge and a clearing, of which the second is undone."""
+    log = ChangeLog.create(spark, f"{shared_dir(spark)}/curation-{uuid.uuid4().hex}", state(spark, sf))
+    log.edit(U.merge_selected)
+    log.edit(U.clear_unfixed)
+    log.undo()
+    now = log.state()
+    none = F.lit(None).cast("int")
+    return now.labels.select(F.lit("label").alias("kind"), "session", "y", "x", "label").unionByName(
+        marks_of(now).select("kind", "session", none.alias("y"), none.alias("x"), "label")
+    )
+
+
+@register("clear_selection", q("select * from sel where session not like 'A1%'"))
+def clear_selection(spark, sf):
+    s = state(spark, sf)
+    return U.clear_selection(s.selected, views.sessions(spark, sf).filter("session like 'A1%'").select("session"))
+
+
+@register("clear_fixed", q("select * from fixd where session not like 'A2%'"))
+def clear_fixed(spark, sf):
+    s = state(spark, sf)
+    return U.clear_fixed(s.fixed, views.sessions(spark, sf).filter("session like 'A2%'").select("session"))
+
+
 @register("roi_listing", q("""
     select p.session, p.label, count(*) as pixels, case when max(f.label) is null then '' else 'yes' end as fixed
     from pred p left join fixd f on f.session = p.session and f.label = p.label group by 1, 2"""))
@@ -205,3 +239,34 @@ def combine_fixed_rois(spark, sf):
     candidates = shared.predicted_labels(spark, sf).withColumnRenamed("label", "roi_id")
     rois, _ = U.combine_fixed(fixed, candidates)
     return rois
+
+
+# overlapping candidates are the raw ROIs; the pass by rising id is spelled out one ROI at a time
+GREEDY = {
+    "fx_fixed": "select session, label as roi_id, y, x from pred where label % 40 = 2",
+    "cand": "select distinct session, roi_id, y, x from clean",
+    "clash": "select distinct c.session, c.roi_id from cand c join fx_fixed f on f.session = c.session and f.y = c.y and f.x = c.x",
+    "free": "select c.* from cand c anti join clash k on k.session = c.session and k.roi_id = c.roi_id",
+    "meets": """select a.session, a.roi_id, list(distinct b.roi_id) as others from free a
+                join free b on b.session = a.session and b.y = a.y and b.x = a.x and b.roi_id < a.roi_id group by 1, 2""",
+    "turns": """select f.session, f.roi_id, coalesce(m.others, []) as others, row_number() over (partition by f.session order by f.roi_id) as k
+                from (select distinct session, roi_id from free) f left join meets m on m.session = f.session and m.roi_id = f.roi_id""",
+    "pass": """select session, cast(0 as bigint) as k, cast([] as int[]) as kept from (select distinct session from turns)
+               union all
+               select p.session, t.k, case when list_has_any(p.kept, cast(t.others as int[])) then p.kept else list_append(p.kept, cast(t.roi_id as int)) end
+               from pass p join turns t on t.session = p.session and t.k = p.k + 1""",
+    "last": "select session, max_by(kept, k) as kept from pass group by 1",
+    "won": "select f.* from free f join last l on l.session = f.session and list_contains(l.kept, cast(f.roi_id as int))",
+    "allr": "select *, 0 as late from fx_fixed union all select *, 1 as late from won",
+}
+
+
+@register("combine_overlapping_rois", sql("""
+    select session, cast(dense_rank() over (partition by session order by late, roi_id) as int) as label,
+           late = 0 as is_fixed, y, x from allr""", "pred", "clean", **GREEDY))
+def combine_overlapping_rois(spark, sf):
+    """Fixed ROIs, then of overlapping candidates those that a pass by rising id keeps."""
+    fixed = shared.predicted_labels(spark, sf).filter("label % 40 = 2").withColumnRenamed("label", "roi_id")
+    clean, _ = clean_roi_pixels(views.roi_pixels(spark, sf), views.sessions(spark, sf))
+    rois, _ = U.combine_fixed(fixed, clean.select("session", "roi_id", "y", "x").distinct(), overlapping=True)
+    return rois
