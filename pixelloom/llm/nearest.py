@@ -9,7 +9,10 @@ candidates, whose exact distances set the limit; every other candidate whose bou
 beat it is reranked exactly. Bound and recall are set by ``EPSILON``.
 
 Queries and candidates meet in blocks of fixed size, each pair of blocks in one task, and each task
-returns the best few of its queries. All rows are indexed; the centre is the mean of all rows.
+returns the best few of its queries. Vectors go with their codes, in the precision that they came in:
+a block of queries is large, so a row is sent once for some 800,000 rows of the table, and no list of
+survivors, which may be a whole cluster for each of its queries, is ever written. All rows are
+indexed; the centre is the mean of all rows.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.llm.vectors import matrix, packed, usable
+from pixelloom.llm.vectors import matrix, sized, usable
 from pixelloom.session import StoredTable
 
 K, EVERY = 10, 100
 EPSILON = 2.5
-CANDIDATES, QUERIES = 8192, 1024
+CANDIDATES, QUERIES = 8192, 8192
 SEED = 17
 
 
@@ -90,7 +93,9 @@ def nearest(
     query's id are the query's own; rows that repeat are candidates each, and queries once. Other
     columns are ignored; without queries or candidates there are no rows.
     """
-    good = packed(vectors.select("vec_id", "embedding").filter(usable() & F.col("vec_id").isNotNull()))
+    good = sized(vectors.select("vec_id", "embedding").filter(usable() & F.col("vec_id").isNotNull()))
+
+    kind = good.schema["embedding"].dataType.simpleString()
 
     def add_up(batches):
         sums: dict[int, tuple[int, np.ndarray]] = {}
@@ -129,7 +134,7 @@ def nearest(
 
     indexed = StoredTable(
         good.select("vec_id", "embedding", "dim").mapInArrow(
-            index, "vec_id long, embedding array<double>, dim int, bits binary, length double, fit double"
+            index, f"vec_id long, embedding {kind}, dim int, bits binary, length double, fit double"
         )
     ).df
     asked = StoredTable(good.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "embedding"]).select("vec_id", "dim", "embedding"), n=F.count("*"))

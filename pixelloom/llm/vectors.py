@@ -20,8 +20,14 @@ def packed(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.withColumn(vector, F.col(vector).cast("array<double>")).withColumn("dim", F.size(vector))
 
 
+def sized(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """The vectors with their number of components: single precision stays, all else becomes double."""
+    single = df.schema[vector].dataType.simpleString() == "array<float>"
+    return df.withColumn(vector, F.col(vector) if single else F.col(vector).cast("array<double>")).withColumn("dim", F.size(vector))
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    """Rows of a list column whose lists all have ``dim`` entries."""
+    """Rows of a list column whose lists all have ``dim`` entries, in double precision."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
