@@ -50,6 +50,45 @@ def test_links(spark, block):
     assert near_vectors.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [64, 1040, 4000, 10_000])
+def test_links_at_the_threshold_in_any_dimension(dim):
+    """Vectors of +-1 with a cosine of exactly nine tenths, and others next to it."""
+    rng = np.random.default_rng(dim)
+    base = rng.choice([-1.0, 1.0], size=dim)
+    rows = [base]
+    for k in range(120):
+        flipped = base.copy()
+        flipped[rng.permutation(dim)[: dim // 20 + k % 3 - 1]] *= -1
+        rows.append(flipped)
+    rows = np.array(rows + [r * s for r, s in zip(rows[:6], (2.0**600, 2.0**-600, 2.0**-1040, 4.0, 2.0**1000, 2.0**-1060))])
+    side = near_vectors.Side.of(rows, np.ones(len(rows), np.int64))
+    plain, norm = near_vectors.scaled(rows)
+    cosine = (plain @ plain.T) / np.multiply.outer(norm, norm)
+    want = cosine >= 0.9
+    np.fill_diagonal(want, False)
+    links, root, unsure = near_vectors.block_links(side, np.ones(len(rows), bool), True, 0.9)
+    more, root2, _ = near_vectors.block_links(side[unsure], np.ones(unsure.sum(), bool), True, 0.9, second=True)
+    links[unsure] += more
+    assert links.tolist() == want.sum(axis=1).tolist()
+    whole = near_vectors.products(side.codes, side.codes)
+    assert (whole == side.codes.astype(np.int64) @ side.codes.T.astype(np.int64)).all()
+
+
+@pytest.mark.parametrize("dim", [4000, 10_000])
+def test_links_of_long_vectors(spark, dim):
+    rng = np.random.default_rng(dim + 1)
+    base = rng.choice([-1.0, 1.0], size=dim)
+    rows = [base] + [base.copy() for _ in range(40)]
+    for k, row in enumerate(rows[1:]):
+        row[rng.permutation(dim)[: dim // 20 + k % 3 - 1]] *= -1
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rows)], "vec_id long, embedding array<float>")
+    whole = np.array(rows)
+    norm = np.linalg.norm(whole, axis=1)
+    want = (whole @ whole.T) / np.multiply.outer(norm, norm) >= 0.9
+    got = {r.vec_id: r.n_links for r in near_vectors.near_duplicates(df, block=16).collect()}
+    assert got == {k: int(want[k].sum()) - 1 for k in range(len(rows))}
+
+
 def test_error_bounds():
     rng = np.random.default_rng(1)
     unit = rng.normal(size=(300, 24)) * rng.lognormal(0, 2, size=24)
