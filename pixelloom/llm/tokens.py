@@ -35,7 +35,7 @@ class WordEncoder:
     number of words kept.
     """
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,7 +97,6 @@ def encoded(
 ) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and ids with the closing ``end_id``, a few texts at a time."""
     end = np.array([end_id], dtype="<u4").tobytes()
-    texts = binary(column)
-    for at in range(0, len(texts), step):
-        for i, ids in enumerate(encoder.encode(texts[at : at + step], end)):
+    for at in range(0, len(column), step):
+        for i, ids in enumerate(encoder.encode(binary(column.slice(at, step)), end)):
             yield at + i, ids
