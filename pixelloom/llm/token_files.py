@@ -2,7 +2,7 @@
 
 Documents are encoded where they lie and put in ascending ``doc_id`` order by a range partitioning;
 each partition writes one pair of files. The sequence file holds record batches of two fixed-size lists, ``ids`` and
-``mask`` (false where the last sequence of a file is padded). The index file holds, per document,
+``mask`` (a byte each, 0 where the last sequence of a file is padded). The index file holds, per document,
 its first id's place in the sequence file and its number of ids. A file is written under a name
 of its own attempt and counts only once its task has ended, so a lost executor costs one
 partition and leaves no half-written file in the result.
@@ -54,11 +54,11 @@ class SequenceFile:
         self.per_batch = int(self.reader.schema.metadata[b"sequences_per_batch"])
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``; the ids are a view of the file."""
+        """Ids and mask (1 for an id, 0 for padding) of sequence ``i``, both views of the file."""
         batch = self.reader.get_batch(i // self.per_batch)
         row = i % self.per_batch
         ids = batch.column(0).slice(row, 1).flatten().to_numpy(zero_copy_only=True)
-        return ids, batch.column(1).slice(row, 1).flatten().to_numpy(zero_copy_only=False)
+        return ids, batch.column(1).slice(row, 1).flatten().to_numpy(zero_copy_only=True)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from place ``start``, over as many batches as they span."""
@@ -78,7 +78,7 @@ class _Writer:
     def __init__(self, uri: str, length: int, per_batch: int, kind: pa.DataType):
         self.length, self.span, self.kind = length, length * per_batch, kind
         self.schema = pa.schema(
-            [("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))],
+            [("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))],
             metadata={"sequences_per_batch": str(per_batch)},
         )
         self.sink = _created(uri)
@@ -101,7 +101,7 @@ class _Writer:
         return start
 
     def _batch(self, values: np.ndarray, real: int) -> None:
-        mask = np.arange(len(values)) < real
+        mask = (np.arange(len(values)) < real).astype(np.uint8)
         columns = [
             pa.FixedSizeListArray.from_arrays(pa.array(values, self.kind), self.length),
             pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length),
