@@ -2,7 +2,8 @@
 
 A block is a run of ``2 m`` words of a document, one starting every ``m`` words, where ``m`` is
 the number of words of the longest template; so every run of ``m`` words lies whole in a block.
-A template is found in a block when the block holds at least ``THRESHOLD`` of its distinct words.
+A template, the notice that a license asks for, is found in a block when the block holds at least
+``THRESHOLD`` of its distinct words; short phrases are looked for word by word beside that.
 Words are ordered by the number of documents that hold them, rarest first. A template can only be
 contained in a block that holds one of its first ``size - needed + 1`` words (prefix filter), that
 has at least ``needed`` template words (length filter), and whose matching word stands early
@@ -32,13 +33,34 @@ PHRASES = {
     "apache-2": ["apache license version 2"],
     "cc-by-nc": ["cc by nc"],
 }
-#: Words that a license's own notice always has; each is a template beside the phrases.
+#: The notices that licenses ask for, as words; each is a template.
 NOTICES = {
-    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software"],
-    "cc-by-nc": ["creative commons attribution noncommercial"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted"],
-    "gpl": ["gnu general public license"],
-    "mpl": ["mozilla public license"],
+    "apache-2": [
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+        "you may obtain a copy of the license at"
+    ],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+        "conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the "
+        "following disclaimer"
+    ],
+    "cc-by-nc": [
+        "this work is licensed under the creative commons attribution noncommercial 4 0 international license to view a copy of this "
+        "license visit"
+    ],
+    "gpl": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+        "published by the free software foundation"
+    ],
+    "mit": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
+        "files the software to deal in the software without restriction including without limitation the rights to use copy modify "
+        "merge publish distribute sublicense and or sell copies of the software"
+    ],
+    "mpl": [
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed "
+        "with this file you can obtain one at"
+    ],
 }
 
 Templates = Mapping[str, Sequence[str]]
@@ -120,11 +142,11 @@ def scan_licenses(
 
     A null text counts as empty; rows equal in id and text get equal results, rows that share
     only an id are judged apart, and a null id is an id. Other columns are ignored; an empty
-    table gives no rows. ``score`` is the largest share of a template's words found in a block,
-    0 where no template reaches the threshold.
+    table gives no rows. ``score`` is 1 where a phrase stands, else the largest share of a notice's
+    words found in a block, 0 where no notice reaches the threshold.
     """
-    templates = [(label, t) for table in (phrases, notices) for label in sorted(table) for t in table[label]]
-    known = sorted({w for _, t in templates for w in t.split()})
+    templates = [(label, t) for label in sorted(notices) for t in notices[label]]
+    known = sorted({w for table in (phrases, notices) for ts in table.values() for t in ts for w in t.split()})
     longest = max(len(t.split()) for _, t in templates)
     parsed = docs.select("doc_id", F.xxhash64("text").alias("_key"), scan_words().alias("_words")).withColumn(
         "_known", F.array_intersect("_words", _array(known))
@@ -174,13 +196,13 @@ def scan_licenses(
     return s.join(h, same(F.col("s.doc_id"), F.col("h.doc_id")) & (F.col("s._key") == F.col("h._key")), "left").select(
         "s.doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort("_base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
-        F.coalesce("_score", F.lit(0.0)).alias("score"),
+        F.when(F.size("_base") > 0, 1.0).otherwise(F.coalesce("_score", F.lit(0.0))).alias("score"),
     )
 
 
 def check_sql(phrases: Templates = PHRASES, notices: Templates = NOTICES, threshold: float = THRESHOLD) -> str:
     """Every block against every template, without filters."""
-    templates = [(label, t) for table in (phrases, notices) for label in sorted(table) for t in table[label]]
+    templates = [(label, t) for label in sorted(notices) for t in notices[label]]
     longest = max(len(t.split()) for _, t in templates)
 
     def listed(ws):
@@ -211,6 +233,6 @@ found as (select k, list(distinct label) as labels, max(score) as score from hit
 select doc_id, cast(n_words as bigint) as n_words, cast(len(starts) as bigint) as n_base, cast(list_min(starts) as bigint) as first_word,
        cast(list_max(starts) as bigint) as last_word, array_to_string(b.labels, ',') as base_labels,
        array_to_string(list_sort(list_distinct(b.labels || coalesce(f.labels, []))), ',') as labels,
-       cast(coalesce(score, 0) as double) as score
+       cast(case when len(b.labels) > 0 then 1 else coalesce(score, 0) end as double) as score
 from base b left join found f on b.k = f.k
 """
