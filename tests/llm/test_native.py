@@ -25,20 +25,27 @@ def against_sql(spark, tmp_path, table, rows, schema, operator, sql):
 
 def test_license_corners(spark, tmp_path):
     mit = "Released under the MIT License. " * 2
-    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and more"
+    def notice(label, drop=0):
+        words = licenses.NOTICES[label][0].split()
+        return " ".join(w for k, w in enumerate(words) if not drop or k % drop)
+
+    shuffled = " ".join(sorted(notice("bsd").split()))
     rows = [
-        (1, mit), (1, mit), (1, "other text, same id"), (2, None), (None, "CC BY-NC 4.0"), (3, ""), (4, notice),
-        (5, "word " * 500 + notice.upper()), (6, "license mit the under"), (7, "under the mİt license under the mit license"),
-        (8, "Apache License,\nVersion 2.0 Apache license version 2"), (9, "K underé the mit license"), (10, "This is the GNU General Public License"),
+        (1, mit), (1, mit), (1, "other text, same id"), (2, None), (None, "CC BY-NC 4.0"), (3, ""), (4, notice("mit").capitalize() + " and more"),
+        (5, "word " * 500 + notice("mit").upper() + " word" * 500), (6, "license mit the under"), (7, "under the mİt license under the mit license"),
+        (8, "Apache License,\nVersion 2.0 Apache license version 2"), (9, "K underé the mit license"), (10, "See: " + notice("gpl", 9)), (14, "This is the GNU General Public License"), (15, notice("mpl", 3)), (16, shuffled), (17, notice("apache-2") + " word" * 300 + " " + notice("cc-by-nc")),
         (11, "x " * 40_000 + "cc by nc"), (12, "general public " * 30), (13, "hereby granted any person a copy"),
     ]
     rows = [(*r, "k", [1]) for r in rows]
     schema = "doc_id long, text string, labels string, words array<int>"
-    assert against_sql(spark, tmp_path, "documents", rows, schema, licenses.scan_licenses, licenses.check_sql()) == 16
+    assert against_sql(spark, tmp_path, "documents", rows, schema, licenses.scan_licenses, licenses.check_sql()) == 20
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, schema)).collect()}
     assert (got[8].n_base, got[8].first_word, got[8].last_word, got[8].base_labels) == (2, 0, 5, "apache-2")
     assert (got[4].base_labels, got[4].labels) == ("", "mit") and got[5].labels == "mit"
     assert got[10].labels == "gpl" and got[13].labels == "" and got[13].score == 0.0
+    # a few words of a license here and there are no notice
+    assert (got[6].labels, got[6].score, got[14].labels, got[15].labels) == ("", 0.0, "", "")
+    assert got[16].labels == "bsd" and got[16].score == 1.0 and got[17].labels == "apache-2,cc-by-nc"
     assert licenses.scan_licenses(spark.createDataFrame([], schema)).count() == 0
 
 

@@ -58,7 +58,7 @@ def test_token_files(spark, tmp_path):
         n, real = -(-entry["n_tokens"] // 64), 0
         for i in range(n):
             values, mask = file.sequence(i)
-            assert len(values) == len(mask) == 64 and not values.flags.owndata
+            assert len(values) == len(mask) == 64 and not values.flags.owndata and not mask.flags.owndata
             real += int(mask.sum())
         assert real == entry["n_tokens"]
 
