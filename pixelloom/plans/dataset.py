@@ -10,7 +10,7 @@ from pixelloom.operators.manifest import (
 )
 from pixelloom.operators.rois import clean_rois, summarise_records
 from pixelloom.session import StoredTable
-from pixelloom.sources.files import decode_rois, decode_shapes, list_sessions, read_contents, scan_files
+from pixelloom.sources.sessions import read_files, read_sessions
 
 
 def manifest_from_folder(
@@ -18,13 +18,16 @@ def manifest_from_folder(
     seed: int = 7, splits: bool = True, trusted: bool = False,
 ) -> DataFrame:
     """One row per session folder. Excluded sessions are listed but never decoded."""
-    sessions = list_sessions(spark, root)
-    files = StoredTable(scan_files(spark, root)).df
+    sessions = read_sessions(spark, root, "sessions")
+    files = StoredTable(read_sessions(spark, root)).df
     used = exclusion_reasons(sessions, files).filter("included").select("session")
     pairs = StoredTable(pair_files(files).join(used, "session", "left_semi")).df
-    images = read_contents(spark, root, pairs.select("session", F.col("image_name").alias("name")))
-    shapes = StoredTable(decode_shapes(images).select("session", "height", "width")).df
-    found = read_contents(spark, root, pairs.select("session", F.col("roi_name").alias("name")))
-    cleaned = StoredTable(clean_rois(decode_rois(found, trusted), shapes)).df
+
+    def wanted(name: str) -> DataFrame:
+        return files.join(pairs.select("session", F.col(name).alias("name")), ["session", "name"], "left_semi")
+
+    shapes = read_files(wanted("image_name"), root, "shapes").filter("error is null")
+    shapes = StoredTable(shapes.select("session", "height", "width")).df
+    cleaned = StoredTable(clean_rois(read_files(wanted("roi_name"), root, "rois", trusted), shapes)).df
     manifest = build_manifest(sessions, files, shapes, summarise_records(cleaned, shapes))
     return assign_splits(manifest, val_fraction, test_fraction, seed) if splits else manifest

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -63,7 +63,8 @@ def read_contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFram
 
 
 # --------------------------------------------------------------------- decoding
-def _decoded(content: bytes) -> tuple[np.ndarray | None, str | None]:
+def decode_array(content: bytes) -> tuple[np.ndarray | None, str | None]:
+    """The two-sided array of a file, or why there is none."""
     try:
         image = np.load(io.BytesIO(content), allow_pickle=False)
     except Exception as error:  # a bad file becomes a quarantine row
@@ -82,7 +83,7 @@ def _sides(shape: Sequence[int]) -> list[int]:
 def _image_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for session, path, content in zip(frame["session"], frame["path"], frame["content"]):
-            image, error = _decoded(content)
+            image, error = decode_array(content)
             ok = image is not None
             yield pd.DataFrame({
                 "session": [session], "path": [path],
@@ -103,6 +104,21 @@ def decode_images(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rows.filter("error is not null").select("session", "path", "error")
 
 
+def header_shape(read: Callable[[int], bytes], first: int) -> tuple[list[int] | None, str | None]:
+    """The two sides that an array file's header states, or why there are none; ``read(n)`` gives the first bytes."""
+    head = read(first)
+    try:
+        version = np.lib.format.read_magic(io.BytesIO(head))
+        wide = 2 if version == (1, 0) else 4
+        length = 8 + wide + int.from_bytes(head[8 : 8 + wide], "little")
+        stream = io.BytesIO(head if length <= len(head) else read(length))
+        np.lib.format.read_magic(stream)
+        sides = _sides((np.lib.format.read_array_header_1_0 if wide == 2 else np.lib.format.read_array_header_2_0)(stream)[0])
+    except Exception as error:
+        return None, f"unreadable array: {error}"
+    return (sides, None) if len(sides) == 2 else (None, f"not an image of two sides: {tuple(sides)}")
+
+
 def _shape_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         shapes = []
@@ -129,21 +145,25 @@ def decode_shapes(files: DataFrame) -> DataFrame:
     return heads.mapInPandas(_shape_rows, "session string, path string, height int, width int")
 
 
-def _roi_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def roi_records(path: str, content: bytes) -> list[tuple[int, int, list[str] | None, list[str] | None]]:
+    """``(roi_id, ord, xpix, ypix)`` of a dictionary file, coordinates as text."""
+
     def text(values) -> list[str] | None:
         return None if values is None else [str(v) for v in np.asarray(values).ravel()]
 
+    stored = np.load(io.BytesIO(content), allow_pickle=True).item()
+    if not isinstance(stored, dict):
+        raise ValueError(f"{path} holds no dictionary of ROIs")
+    return [(int(i), k + 1, text(r.get("xpix")), text(r.get("ypix"))) for k, (i, r) in enumerate(stored.items())]
+
+
+def _roi_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for session, path, content in zip(frame["session"], frame["path"], frame["content"]):
-            stored = np.load(io.BytesIO(content), allow_pickle=True).item()
-            if not isinstance(stored, dict):
-                raise ValueError(f"{path} holds no dictionary of ROIs")
-            yield pd.DataFrame({
-                "session": session, "path": path, "roi_id": [int(i) for i in stored],
-                "ord": list(range(1, len(stored) + 1)),
-                "xpix": [text(r.get("xpix")) for r in stored.values()],
-                "ypix": [text(r.get("ypix")) for r in stored.values()],
-            })
+            rows = pd.DataFrame(roi_records(path, content), columns=["roi_id", "ord", "xpix", "ypix"])
+            rows.insert(0, "session", session)
+            rows.insert(1, "path", path)
+            yield rows
 
 
 def decode_rois(files: DataFrame, trusted: bool = False) -> DataFrame:

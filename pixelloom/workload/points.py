@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pixelloom.operators import curate as U
 from pixelloom.operators.components import labels_at_points
 from pixelloom.operators.parameters import resolve_operating_point
+from pixelloom.operators.scores import score_sessions
 from pixelloom.plans.prediction import predict_images
 from pixelloom.session import StoredTable
+from pixelloom.sources.files import decode_images, encode_images
 from pixelloom.workload import views
 from pixelloom.workload.regions import NORM8, SIG, VIEWS4, array_images, ramp_model
 from pixelloom.workload.registry import register
@@ -84,3 +86,39 @@ def predictions_at_operating_points(spark, sf):
     asked = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("session"), (F.col("vec_id") % 3).alias("turn"))
     out = predict_images(array_images(spark, sf), ramp_model, points=points_of(spark, asked), max_side=8)
     return out.labels.join(out.points.select("session", "threshold"), "session")
+
+
+ENCODED = {
+    "norm8": NORM8,
+    "m8": f"select session, y, x from norm8 where {SIG.format(x='x', y='y')} >= 0.5",
+    "fl8": """select session, y, x, y * 100 + x as root from m8 union
+              select f.session, f.y, f.x, r.root from fl8 r cross join (values (0, 1), (0, -1), (1, 0), (-1, 0)) d(dy, dx)
+              join m8 f on f.session = r.session and f.y = r.y + d.dy and f.x = r.x + d.dx where r.root < f.y * 100 + f.x""",
+    "cp8": "select session, y, x, min(root) as root from fl8 group by 1, 2, 3",
+    "big8": "select session, root from cp8 group by 1, 2 having count(*) >= 3",
+    "pred8": "select c.session, c.y, c.x, c.root from cp8 c join big8 b on b.session = c.session and b.root = c.root",
+    "true8": "select vec_id as session, y, x from fx_images8 where value > cast(0.05 as double)",
+    "cells8": """select coalesce(p.session, t.session) as session, p.root, p.y is not null as p, t.y is not null as t
+                 from pred8 p full outer join true8 t on t.session = p.session and t.y = p.y and t.x = p.x""",
+}
+
+
+@register("scores_from_encoded_images", sql("""
+    select concat('v', e.vec_id) as session, coalesce(c.tp, 0) as tp, coalesce(c.fp, 0) as fp, coalesce(c.fn, 0) as fn,
+           coalesce(c.n, 0) as predicted_components, round(2 * coalesce(c.tp, 0) / (2 * coalesce(c.tp, 0) + coalesce(c.fp, 0) + coalesce(c.fn, 0) + cast(1e-8 as double)), 6) as dice
+    from embeddings e left join (
+        select session, count(*) filter (p and t) as tp, count(*) filter (p and not t) as fp, count(*) filter (t and not p) as fn, count(distinct root) as n
+        from cells8 group by 1) c on c.session = e.vec_id""", "fx_images8", **ENCODED))
+def scores_from_encoded_images(spark, sf):
+    """From the bytes of array files to scores: decoding, scoring, labelling and comparison with curated labels."""
+    images = array_images(spark, sf).withColumn("session", F.concat(F.lit("v"), F.col("session").cast("string")))
+    files = encode_images(images.withColumn("path", F.col("session")))
+    decoded, _ = decode_images(StoredTable(files).df)
+    found = predict_images(StoredTable(decoded).df.select("session", "height", "width", "pixels"), ramp_model, threshold=0.5, min_size=3, max_side=8)
+    target = views.images8(spark, sf).filter("value > 0.05").select(
+        F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("session"), "y", "x", F.lit(1).alias("label")
+    )
+    rows = images.select("session", F.lit("v").alias("animal"), F.lit("test").alias("split"))
+    scores = score_sessions(found.labels, target, rows)
+    counts = [F.col(f"{n}_pixels").alias(c) for c, n in (("tp", "true_positive"), ("fp", "false_positive"), ("fn", "false_negative"))]
+    return scores.select("session", *counts, "predicted_components", F.round("dice", 6).alias("dice"))
