@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.functions.scalars import keyed_uniform
+from pixelloom.functions.scalars import keyed_digest, keyed_uniform
 from pixelloom.operators.intensity import dilate
 from pixelloom.operators.spread import bucketed_row_number, salted_join
 
@@ -103,13 +103,13 @@ def rotate(y: Column, x: Column, h: Column, w: Column, quarter_turns: Column):
 
 
 def unit_normal(seed: int, *key: str) -> Column:
-    """A standard normal draw fixed by seed and key (Box and Muller)."""
+    """A standard normal draw fixed by seed and key (Box and Muller), from one digest that any engine repeats."""
+    digest = keyed_digest(seed, *key)
 
-    def uniform(tag: int) -> Column:
-        h = F.xxhash64(F.lit(seed), F.lit(tag), *key)
-        return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
+    def uniform(at: int) -> Column:
+        return (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
 
-    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
+    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(9))
 
 
 def draw_augmentation(

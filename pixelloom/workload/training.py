@@ -112,15 +112,17 @@ def patch_augment(spark, sf):
     return P.augment(cut(spark, sf), noise_sd=0).withColumn("value", F.round("value", 6))
 
 
-@register("patch_noise")
+NOISE = "md5(concat('7|', session, '|', epoch, '|', patch, '|', py, '|', px))"
+NORMAL = f"""(sqrt(-2 * ln((cast(concat('0x', substr({NOISE}, 1, 8)) as bigint) + cast(0.5 as double)) / cast(4294967296 as double)))
+             * cos(2 * pi() * (cast(concat('0x', substr({NOISE}, 9, 8)) as bigint) + cast(0.5 as double)) / cast(4294967296 as double)))"""
+NOISY = {"fl": TURNED["fl"].replace("* cast(0.25 as double)))", f"* cast(0.25 as double) + cast(0.02 as double) * {NORMAL}))"), "turned": TURNED["turned"]}
+
+
+@register("patch_noise", sql("select session, epoch, patch, py, px, h, w, round(value, 6) as value, mask from turned",
+                             "fx_dense", "fx_sessions", **_crops_sql(), cut=CUT, **NOISY))
 def patch_noise(spark, sf):
-    """Mean and spread of the noise alone; the draws themselves are engine hashes."""
-    plain, noisy = P.augment(cut(spark, sf), noise_sd=0), P.augment(cut(spark, sf), noise_sd=0.02)
-    on = ["session", "epoch", "patch", "py", "px"]
-    return plain.join(noisy.select(*on, F.col("value").alias("noisy"), F.col("mask").alias("m2")), on).agg(
-        F.count("*").alias("pixels"), F.sum((F.col("mask") != F.col("m2")).cast("int")).alias("mask_changes"),
-        F.round(F.avg(F.col("noisy") - F.col("value")), 3).alias("shift"),
-    )
+    """Every pixel with its own draw of noise, beside the other changes of its patch."""
+    return P.augment(cut(spark, sf), noise_sd=0.02).withColumn("value", F.round("value", 6))
 
 
 @register("patch_targets", sql("""
@@ -182,17 +184,26 @@ def shape_decoding(spark, sf):
     )
 
 
-@register("patch_dataset")
+# the first half of each list of steps is augmented with noise, the other one is as cut
+@register("patch_dataset", sql("""
+    select 'train' as phase, t.session, t.epoch, t.patch, count(*) as pixels, cast(sum(t.mask) as bigint) as foreground,
+           round(min(t.value), 6) as low, round(max(t.value), 6) as high
+    from turned t join (select session from mani where included and split = 'train') m on m.session = t.session group by 1, 2, 3, 4
+    union all
+    select 'val', v.session, v.epoch, v.patch, count(*), cast(sum(v.mask) as bigint), round(min(v.value), 6), round(max(v.value), 6)
+    from valcut v join (select session from mani where included and split = 'val') m on m.session = v.session group by 1, 2, 3, 4""",
+    "fx_dense", "fx_sessions", **_crops_sql(7, EPOCHS, PER_IMAGE), cut=CUT, **NOISY,
+    **{f"val{k}": v for k, v in _named("val", _crops_sql(1007, EPOCHS, 1)).items()}, mani=shared.MANIFEST_SQL))
 def patch_dataset(spark, sf):
     """Both policies end to end, counted: images noisy and augmented for training only."""
     train, val = P.train_and_validation(
         image_and_mask(spark, sf), mask(spark, sf), shared.manifest(spark, sf), EPOCHS,
-        train_patches=3, val_patches=1, patch_size=SIZE,
+        train_patches=PER_IMAGE, val_patches=1, patch_size=SIZE, foreground_fraction=FRACTION,
     )
     both = train.withColumn("phase", F.lit("train")).unionByName(val.withColumn("phase", F.lit("val")))
     return both.groupBy("phase", "session", "epoch", "patch").agg(
-        F.count("*").alias("pixels"), F.sum("mask").alias("foreground"),
-        F.min("value").alias("low"), F.max("value").alias("high"),
+        F.count("*").alias("pixels"), F.sum("mask").cast("bigint").alias("foreground"),
+        F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"),
     )
 
 
