@@ -6,13 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions.scalars import sigmoid
 from pixelloom.operators.intensity import _lines, robust_normalise, top_hat
 from pixelloom.operators.losses import batch_dice
 
+#: How a model is stored: its weights by feature and, under ``fit``, the other numbers.
+MODEL = "part string, name string, value double"
 FEATURES = ("normalised", "local_mean", "local_max", "local_min", "detail")
 
 
@@ -31,8 +33,8 @@ def pixel_features(dense: DataFrame, kernel: int = 5, keys: Sequence[str] = ("se
         (F.sum("_s").over(down) / F.sum("_c").over(down)).alias("local_mean"),
         F.max("_hi").over(down).alias("local_max"), F.min("_lo").over(down).alias("local_min"),
     )
-    detail = top_hat(base, kernel, keys, "normalised").withColumnRenamed("normalised", "detail")
-    return near.join(detail, [*keys, "y", "x"])
+    # the filter carries the other features along, so no pixel is joined with itself
+    return top_hat(near.withColumn("detail", F.col("normalised")), kernel, keys, "detail")
 
 
 class ForegroundModel:
@@ -42,6 +44,21 @@ class ForegroundModel:
         self.weights, self.intercept = [float(w) for w in weights], float(intercept)
         self.strength, self.dice = strength, dice
 
+    def store(self, spark: SparkSession, path: str) -> None:
+        """Write the model as a table: a row for each weight, the intercept and the facts of the fit."""
+        rows = [("weight", n, w) for n, w in zip(FEATURES, self.weights)]
+        rows += [("fit", n, float(v)) for n, v in (("intercept", self.intercept), ("strength", self.strength), ("dice", self.dice))]
+        spark.createDataFrame(rows, MODEL).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ForegroundModel:
+        found = {(r.part, r.name): r.value for r in spark.read.schema(MODEL).parquet(path).collect()}
+        missing = [n for n in FEATURES if ("weight", n) not in found]
+        if missing:
+            raise ValueError(f"{path} has no weights for {', '.join(missing)}")
+        fit = [found[("fit", n)] for n in ("intercept", "strength", "dice")]
+        return cls([found[("weight", n)] for n in FEATURES], *fit)
+
     def logit(self) -> Column:
         z = F.lit(self.intercept)
         for name, weight in zip(FEATURES, self.weights):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,9 +14,10 @@ from pixelloom.operators import losses as L
 from pixelloom.operators import patches as P
 from pixelloom.operators.spread import salted_join
 from pixelloom.operators.scoring import explode_image
-from pixelloom.session import StoredTable
+from pixelloom.session import StoredTable, shared_dir
 from pixelloom.sources import files as D
 from pixelloom.workload import shared, views
+from pixelloom.workload.images import _tophat_sql
 from pixelloom.workload.registry import register
 from pixelloom.workload.views import sql
 
@@ -397,19 +399,56 @@ def stack_histories(spark, sf):
 
 
 # --------------------------------------------------------------- foreground model
+FEATURE_STEPS = {
+    "ends": "select session, quantile_cont(value, cast(0.01 as double)) as lo, quantile_cont(value, cast(0.997 as double)) as hi from fx_dense group by 1",
+    "normd": """select d.session, d.y, d.x, greatest(0.0, least(1.0, (d.value - e.lo) / (e.hi - e.lo))) as value
+                from fx_dense d join ends e on e.session = d.session""",
+    "near": """select c.session, c.y, c.x, avg(n.value) as mean, max(n.value) as top, min(n.value) as low
+               from normd c cross join (values (-1), (0), (1)) a(dy) cross join (values (-1), (0), (1)) b(dx)
+               join normd n on n.session = c.session and n.y = c.y + a.dy and n.x = c.x + b.dx group by 1, 2, 3""",
+    **_tophat_sql(5, "normd"),
+    "feat": """select d.session, d.y, d.x, d.value as normalised, n.mean as local_mean, n.top as local_max, n.low as local_min, th.value as detail
+               from normd d join near n on n.session = d.session and n.y = d.y and n.x = d.x
+               join th on th.session = d.session and th.y = d.y and th.x = d.x""",
+}
+
+
+@register("pixel_features", sql(f"select session, y, x, {', '.join(f'round({f}, 6) as {f}' for f in G.FEATURES)} from feat", "fx_dense", **FEATURE_STEPS))
+def pixel_features(spark, sf):
+    found = G.pixel_features(I.densify(views.pixels(spark, sf), views.pixel_sessions(spark, sf)))
+    return found.select("session", "y", "x", *[F.round(f, 6).alias(f) for f in G.FEATURES])
+
+
+WEIGHTS, INTERCEPT = (1.5, -0.75, 0.5, 2.0, 1.25), -1.5
+LOGIT = f"{INTERCEPT} + " + " + ".join(f"cast({w} as double) * {f}" for w, f in zip(WEIGHTS, G.FEATURES))
+
+
+@register("foreground_from_stored_model", sql(f"select session, y, x, round(1 / (1 + exp(-({LOGIT}))), 6) as probability from feat", "fx_dense", **FEATURE_STEPS))
+def foreground_from_stored_model(spark, sf):
+    """Probabilities of a model of stated weights, stored and read again."""
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    G.ForegroundModel(WEIGHTS, INTERCEPT, 0.0).store(spark, path)
+    features = G.pixel_features(I.densify(views.pixels(spark, sf), views.pixel_sessions(spark, sf)))
+    out = G.foreground_probability(G.ForegroundModel.load(spark, path), features)
+    return out.withColumn("probability", F.round("probability", 6))
+
+
 @register("foreground_model")
 def foreground_model(spark, sf):
-    """Fit on the training sessions, choose on validation, predict the test sessions."""
-    pixels, rows = views.pixels(spark, sf), shared.manifest(spark, sf).filter("included")
+    """Fit on the training sessions, choose on validation, store the model, and predict the test sessions with it."""
+    rows = shared.manifest(spark, sf).filter("included and split <> ''").select("session", "split")
+    # sessions of no split are left out before anything is computed of them
+    pixels = salted_join(views.pixels(spark, sf), rows.select("session"), ["session"], ["y"], "left_semi")
     marks = pixels.select("session", "y", "x", F.col("target").cast("double").alias("mask"))
-    joined = (
-        G.pixel_features(I.densify(pixels, views.pixel_sessions(spark, sf)))
-        .join(marks, ["session", "y", "x"], "left").fillna(0.0, ["mask"])
-    )
-    split = salted_join(joined, rows.select("session", "split"), ["session"], ["y"], "inner")
+    shapes = views.pixel_sessions(spark, sf).join(rows.select("session"), "session", "left_semi")
+    joined = G.pixel_features(I.densify(pixels, shapes)).join(marks, ["session", "y", "x"], "left").fillna(0.0, ["mask"])
+    split = salted_join(joined, rows, ["session"], ["y"], "inner")
     features = StoredTable(split).df
-    model = G.fit_foreground(
+    fitted = G.fit_foreground(
         features.filter("split = 'train'"), features.filter("split = 'val'"), pos_weight=2.0
     )
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    fitted.store(spark, path)
+    model = G.ForegroundModel.load(spark, path)
     out = G.foreground_probability(model, features.filter("split = 'test'"))
     return out.withColumn("strength", F.lit(model.strength)).withColumn("validation_dice", F.lit(model.dice))
