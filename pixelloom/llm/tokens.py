@@ -35,7 +35,7 @@ class WordEncoder:
     number of words kept.
     """
 
-    def __init__(self, path: str, remember: int = 120_000):
+    def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,8 +86,8 @@ class WordEncoder:
         every = set(chain.from_iterable(words))
         new = every.difference(known)
         if len(known) + len(new) > self.remember:
-            known.clear()
-            new = every
+            # what stands in these texts stays; that has most of the frequent words
+            known = self.known = {w: known[w] for w in every if w in known}
         self._learn(new)
         return [np.frombuffer(b"".join(map(known.__getitem__, ws)) + end, dtype="<u4") for ws in words]
 
