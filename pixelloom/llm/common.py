@@ -27,6 +27,15 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Set how many rows go to Python at once, for the plans that the session runs from now on.
+
+    A batch of texts is held whole on both sides, so operators that keep state of their own ask for
+    small ones, whatever another has asked for before.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality that also joins nulls."""
     return left.eqNullSafe(right)

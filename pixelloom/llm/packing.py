@@ -19,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pixelloom.llm.common import batch_rows
 from pixelloom.llm.tokens import WordEncoder, encoded, tokenizer_path
 
 CAPACITY = 4096
+BATCH = 2048  # rows that are read at once
 END_ID = 2
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -144,6 +146,7 @@ def pack_documents(
     stand; other columns are ignored; an empty table gives no rows. Numbers of sequences hold
     the partition in their upper bits, so they are unique but not consecutive.
     """
+    batch_rows(docs.sparkSession, BATCH)
     path = tokenizer or tokenizer_path()
     names = [field.split()[0] for field in PIECES.split(", ")]
 

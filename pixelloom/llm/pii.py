@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import quoted
+from pixelloom.llm.common import batch_rows, quoted
 
+BATCH = 2048  # rows that are read at once
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -329,6 +330,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     A null text counts as empty; repeated rows and null ids are rows like any other; other columns
     are ignored; an empty table gives no rows. ``n_*`` and ``base_sha256`` are of the plain spans.
     """
+    batch_rows(docs.sparkSession, BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,6 +355,7 @@ def redact(docs: DataFrame) -> DataFrame:
     A null or empty text stays as it is; rows that repeat are rows of their own; an empty table gives
     no rows. Other columns may have any names.
     """
+    batch_rows(docs.sparkSession, BATCH)
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     rows = docs.select(F.struct(*[quoted(c) for c in others]).alias("_row"), "text")
 
