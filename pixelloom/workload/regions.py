@@ -105,7 +105,7 @@ LEVELS = {
     "bytes": """select d.session, d.y, d.x, cast(floor(coalesce(p.probability, 0) * 255) as int) as v
                 from fx_dense d left join fx_pixels p on p.session = d.session and p.y = d.y and p.x = d.x""",
     "pol": "select session, 0 as polarity, y, x, v as u from bytes union all select session, 1, y, x, 255 - v from bytes",
-    "lev": """select session, polarity, cast(l.range as int) as level, y, x from pol join range(1, 8) l on u >= l.range * 32""",
+    "lev": """select session, polarity, cast(l.range as int) as level, y, x from pol join range(1, 52) l on u >= l.range * 5""",
 }
 
 
@@ -114,7 +114,8 @@ LEVELS = {
     from (select *, x - row_number() over (partition by session, polarity, level, y order by x) as g from lev)
     group by session, polarity, level, y, g""", "fx_dense", **LEVELS))
 def level_runs(spark, sf):
-    return Q.level_runs(byte_image(spark, sf), 32)
+    """Every fifth grey level, as far apart as areas are compared by default."""
+    return Q.level_runs(byte_image(spark, sf), 5)
 
 
 EVERY_LEVEL = {k: LEVELS[k] for k in ("bytes", "pol")} | {
@@ -127,7 +128,7 @@ EVERY_LEVEL = {k: LEVELS[k] for k in ("bytes", "pol")} | {
     from (select *, x - row_number() over (partition by session, polarity, level, y order by x) as g from lev)
     group by session, polarity, level, y, g""", "fx_dense", **EVERY_LEVEL))
 def level_runs_every_level(spark, sf):
-    """All 255 grey levels, as the stable regions read them; ``level_runs`` looks at seven."""
+    """All 255 grey levels, as the stable regions read them."""
     return Q.level_runs(byte_image(spark, sf), 1)
 
 
