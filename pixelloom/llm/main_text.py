@@ -26,7 +26,7 @@ from pixelloom.llm.html_blocks import Leaf, Node, read_blocks
 
 #: Labelled pages and different features that a model is trained on at most, and how often a feature must stand.
 MAX_PAGES, MAX_FEATURES, LEAST = 800, 4000, 10
-SHORT = 12  # words of a block whose words are features
+SHORT = 8  # words of a block whose words are features
 SEED = 0
 SECTIONS = frozenset("article main section nav aside header footer form dialog".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -50,13 +50,24 @@ def nearest_section(node: Node) -> str:
     return node.tag
 
 
+def sections(node: Node) -> str:
+    """The two sectioning elements that lie nearest around, the outer one first."""
+    found = []
+    while node.tag and len(found) < 2:
+        if node.tag in SECTIONS:
+            found.append(node.tag)
+        node = node.parent
+    return ">".join(found[::-1])
+
+
 def shape(leaf: Leaf) -> list[str]:
     """Features of a block's text and element."""
     text, tag, section = leaf.text, leaf.node.tag, nearest_section(leaf.node)
     words = text.count(" ") + 1
     size, linked = min(words.bit_length(), 8), leaf.linked / len(text)
     links = "none" if not leaf.linked else "few" if linked < 0.3 else "many" if linked < 0.8 else "all"
-    found = [f"tag {tag}", f"section {section}", f"{section} {tag}", f"words {size}", f"links {links}", f"links {links} words {min(size, 4)}"]
+    lying = sections(leaf.node)
+    found = [f"tag {tag}", f"lies {lying}", f"lies {lying} {tag}", f"section {section}", f"{section} {tag}", f"words {size}", f"links {links}", f"links {links} words {min(size, 4)}"]
     if text.endswith(_ENDS):
         found.append("ends")
     if "©" in text:
@@ -69,10 +80,11 @@ def shape(leaf: Leaf) -> list[str]:
 
 
 def steps_of(leaves: list[Leaf]) -> list[int]:
-    """For each block whether it has the parent of the one before it (1), its section (2), or neither (0)."""
+    """For each block whether it has the parent and the names of the one before it (1), its section (2), or neither (0)."""
     kinds = [0]
     for a, b in zip(leaves, leaves[1:]):
-        kinds.append(1 if a.node.parent is b.node.parent else 2 if nearest_section(a.node) == nearest_section(b.node) else 0)
+        alike = a.node.parent is b.node.parent and a.node.words == b.node.words
+        kinds.append(1 if alike else 2 if nearest_section(a.node) == nearest_section(b.node) else 0)
     return kinds[: len(leaves)]
 
 

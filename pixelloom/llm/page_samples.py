@@ -36,7 +36,8 @@ PHRASES = {
 }
 #: Elements that hold a part, the plain ones more often.
 HOLDERS = {
-    "main": ["article", "article", "article", "main", "div", "div", "section", "main>article", "div>article", "td", "main>div"],
+    # the empty one stands for text that lies in the body itself
+    "main": ["article", "article", "article", "main", "div", "div", "div", "section", "main>article", "div>article", "td", "main>div", "", ""],
     "nav": ["nav", "nav", "div", "ul", "menu", "header>nav", "div>nav"], "header": ["header", "header", "div", "header>div"],
     "footer": ["footer", "footer", "div", "footer>div"], "sidebar": ["aside", "aside", "div", "section", "aside>section"],
     "notice": ["div", "div", "section", "dialog", "aside", "p"], "ad": ["div", "div", "aside", "section", "p"], "form": ["form", "form", "div>form", "section>form"],
@@ -44,6 +45,10 @@ HOLDERS = {
 }
 SYLLABLES = "la re ti on an de er en st un ch ou ie au ng sch th ar os al ur em it ka mo vi sa né ü ñe ся ко 的 か".split()
 
+#: Words that stand in texts of any kind, so that nothing is learned from them.
+COMMON = """the of and to in is that it was for you we this with be are as at by my me from have not all your our will can one now
+    use new more free time best get up on or if der die das und ist zu le la les et de un une que el los y en es""".split()
+
 
 class Page:
     """One page: ``html`` and the lines of its main text."""
@@ -61,7 +66,7 @@ class Page:
         rng = self.rng
         out = []
         for _ in range(rng.randint(least, most)):
-            word = "".join(rng.choices(SYLLABLES, k=rng.randint(1, 4)))
+            word = rng.choice(COMMON) if rng.random() < 0.35 else "".join(rng.choices(SYLLABLES, k=rng.randint(1, 4)))
             out.append(word + (rng.choice([",", self.marks]) if rng.random() < (0.7 if self.marks else 0.08) else ""))
         text = " ".join(out)
         return text.upper() if self.upper else text[:1].upper() + text[1:]
@@ -76,7 +81,9 @@ class Page:
     def opened(self, part: str, holder: str | None = None) -> tuple[str, str]:
         """Start and end tags of a part."""
         rng, start, end = self.rng, "", ""
-        for tag in (holder or rng.choice(HOLDERS[part])).split(">"):
+        for tag in (rng.choice(HOLDERS[part]) if holder is None else holder).split(">"):
+            if not tag:
+                return "", ""
             own = " "
             telling = tag in ("nav", "header", "footer", "aside", "form", "article", "main", "dialog")
             if rng.random() < (0.35 if telling else 0.95 if part not in ("main", "ad") or self.named else 0.4):
@@ -106,7 +113,7 @@ class Page:
         rng = self.rng
         title = self.words(2, 12)
         out = []
-        if rng.random() < 0.9:
+        if rng.random() < 0.8:
             heading = self.main(rng.choice(["h1", "h1", "h2"]), title)
             out.append(f"<header>{heading}</header>" if rng.random() < 0.2 else heading)
         for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 9, 14])):
@@ -166,7 +173,7 @@ class Page:
                 host = f"© {self.words(1, 2)} · {self.words(2, 8)}." if part == "footer" and rng.random() < 0.5 else text
                 inner.append(escape(host) if start.startswith("<p") or rng.random() < 0.4 else f"<p>{escape(host)}</p>")
             if part == "header" and rng.random() < 0.5:
-                inner.append(f"<h1>{escape(self.words(1, 3))}</h1>" if rng.random() < 0.3 else f'<a href="/">{escape(self.words(1, 3))}</a>')
+                inner.append(f"<h1>{escape(self.words(1, 3))}</h1>" if rng.random() < 0.6 else f'<a href="/">{escape(self.words(1, 3))}</a>')
         return start + "".join(inner) + end
 
     def _page(self) -> str:
