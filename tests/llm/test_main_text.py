@@ -138,6 +138,9 @@ def paragraphs(lines):
     "<div class='cookie-notice'><p>We use cookies to improve this site.</p><button>Accept</button></div><article><h1>High water</h1>{}</article>"
     "<section id=comments><h2>3 comments</h2><div class=comment><p>I was there and saw it all, it was terrible.</p></div>"
     "<div class=comment><p>Thank you for this article!</p></div><form><label>Your name</label><input><p>Leave a reply</p></form></section>",
+    "<header><h1>The Daily</h1><nav><ul><li><a href=a>Home</a></li></ul></nav></header><main><h1>High water</h1>{}</main>",
+    "<nav><ul><li><a href=a>Home</a></li></ul></nav><h1>High water</h1>{}<footer>&copy; me</footer>",
+    "<nav><a href=/>Home</a></nav><article><h1>High water</h1>{}<section class=comments><p>I was there and saw it all.</p></section></article>",
     "<article><h1>High water</h1>{}<div class=advert>Buy a boat today!</div></article><div class=newsletter><form><p>Subscribe to our newsletter</p></form></div>",
 ])
 def test_pages_of_other_makes(model, html):
