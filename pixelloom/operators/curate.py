@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.operators.components import labels_at_points, probability_to_labels, relabel_map
-from pixelloom.operators.spread import bucketed_row_number, salted_join
+from pixelloom.operators.spread import bucketed_row_number, salted_join, shapes_once
 from pixelloom.session import StoredTable
 
 ID = ["session", "label"]
@@ -54,7 +54,7 @@ def hit_test(points: DataFrame, labels: DataFrame, shapes: DataFrame, point_id:
     first, so a cell clicked very often costs one row there.
     """
     at = points.withColumn("y", F.bround("yf", 0).cast("int")).withColumn("x", F.bround("xf", 0).cast("int"))
-    shaped = salted_join(at, shapes.select("session", "height", "width"), ["session"], [point_id], "inner")
+    shaped = salted_join(at, shapes_once(shapes), ["session"], [point_id], "inner")
     inside = shaped.filter("y >= 0 and x >= 0 and y < height and x < width").drop("height", "width")
     cell = ["session", "y", "x"]
     hits = inside.select(*cell).distinct().join(labels.filter("label > 0"), cell)

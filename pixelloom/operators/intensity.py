@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions.scalars import blend, keyed_uniform
-from pixelloom.operators.spread import group_quantiles, salted_join
+from pixelloom.operators.spread import group_quantiles, salted_join, shapes_once
 from pixelloom.session import StoredTable
 
 
@@ -63,7 +63,7 @@ def _with_background(pixels: DataFrame, shapes: DataFrame | None, keys: Sequence
     if shapes is None:
         return rows
     present = pixels.groupBy(*keys).agg(F.count("*").alias("_n"))
-    zeros = shapes.join(present, list(keys), "left").select(
+    zeros = shapes_once(shapes, keys).join(present, list(keys), "left").select(
         *keys, F.lit(0.0).alias(value),
         (F.col("height").cast("bigint") * F.col("width") - F.coalesce("_n", F.lit(0))).alias("_weight"),
     )
@@ -356,6 +356,7 @@ def equalise_tiles(
     one salted join.
     """
     keys = list(keys)
+    shapes = shapes_once(shapes, keys)
     rows, cols = F.col("height"), F.col("width")
     uneven = (rows % TILES != 0) | (cols % TILES != 0)
     if isinstance(clip, DataFrame):
@@ -486,7 +487,7 @@ def dilate(
         *keys, (F.col("y") + F.col("_dy")).alias("y"), (F.col("x0") - reach).alias("x0"),
         (F.col("x1") + reach).alias("x1"),
     )
-    fitted = salted_join(moved, shapes.select(*keys, "height", "width"), keys, ["y"], "inner").filter(
+    fitted = salted_join(moved, shapes_once(shapes, keys), keys, ["y"], "inner").filter(
         "y >= 0 and y < height"
     ).select(
         *keys, "y", F.greatest("x0", F.lit(0)).alias("x0"), F.least("x1", F.col("width") - 1).alias("x1")
@@ -500,7 +501,7 @@ def label_boundary(
 ) -> DataFrame:
     """Label rows with ``boundary``: some 4-neighbour, wrapping round the edges, differs."""
     keys = list(keys)
-    shaped = salted_join(labels, shapes.select(*keys, "height", "width"), keys, ["y"], "inner")
+    shaped = salted_join(labels, shapes_once(shapes, keys), keys, ["y"], "inner")
     row, column = _lines(keys)
 
     def differs(window, c: str, size: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions.scalars import (
     animal_of, keyed_digest, lenient_double, lenient_int, parse_bool,
 )
-from pixelloom.operators.spread import bucketed_row_number, salted_join
+from pixelloom.operators.spread import bucketed_row_number, salted_join, shapes_once
 from pixelloom.schemas import MANIFEST_COLUMNS, MANIFEST_KINDS
 
 # fixed values: file names and exclusion reasons
@@ -81,7 +81,7 @@ def exclusion_reasons(sessions: DataFrame, files: DataFrame) -> DataFrame:
 def build_manifest(
     sessions: DataFrame, files: DataFrame, shapes: DataFrame, summaries: DataFrame
 ) -> DataFrame:
-    """One manifest row per session; excluded rows carry zero summaries.
+    """One manifest row per row of ``sessions``; excluded rows carry zero summaries.
 
     ``sessions`` is ``(session, processed_path, has_processed)``, ``shapes`` holds the
     image shape and ``summaries`` the ROI summary of each decoded session.
@@ -89,8 +89,8 @@ def build_manifest(
     reasoned = exclusion_reasons(sessions, files)
     joined = (
         reasoned.join(pair_files(files), "session", "left")
-        .join(shapes.select("session", "height", "width"), "session", "left")
-        .join(summaries.drop("height", "width"), "session", "left")
+        .join(shapes_once(shapes), "session", "left")
+        .join(summaries.drop("height", "width").distinct(), "session", "left")
     )
     ok = F.col("included")
 
@@ -158,7 +158,7 @@ def assign_splits(
     on partitioning. Hashes are even, so their first digits make balanced buckets.
     """
     rows = manifest.drop("split")
-    used = rows.filter("included").select("session", "animal").withColumn("_h", keyed_digest(seed, "session"))
+    used = rows.filter("included").withColumn("_h", keyed_digest(seed, "session"))
     ranked = bucketed_row_number(
         used, ["animal"], F.substring("_h", 1, 3), [F.col("_h"), F.col("session")], "_rank"
     )
@@ -167,12 +167,14 @@ def assign_splits(
     n_test = split_count(F.col("_n"), test_fraction)
     n_val = split_count(F.col("_n") - F.col("_nt"), val_fraction)
     placed = counted.withColumn("_nt", n_test).withColumn("_nv", n_val).select(
-        "session",
+        *rows.columns,
         F.when(F.col("_rank") <= F.col("_nt"), "test")
         .when(F.col("_rank") <= F.col("_nt") + F.col("_nv"), "val")
         .otherwise("train").alias("split"),
     )
-    return rows.join(placed, "session", "left").withColumn("split", F.coalesce("split", F.lit("")))
+    # each row keeps its own place, so rows of one session are not joined with each other
+    excluded = rows.filter(~F.coalesce("included", F.lit(False))).withColumn("split", F.lit(""))
+    return placed.unionByName(excluded)
 
 
 def preview_sample(manifest: DataFrame, n: int, seed: int = 7) -> DataFrame:
