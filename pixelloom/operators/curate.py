@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.operators.components import labels_at_points, probability_to_labels, relabel_map
-from pixelloom.operators.spread import bucketed_row_number, salted_join, shapes_once
+from pixelloom.operators.spread import bucketed_row_number, merge_join, salted_join, shapes_once
 from pixelloom.session import StoredTable
 
 ID = ["session", "label"]
@@ -35,11 +35,11 @@ def _none(ids: DataFrame) -> DataFrame:
 
 
 def _minus(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right.select(*ID), ID, "left_anti")
+    return merge_join(left, right.select(*ID), ID, "left_anti")
 
 
 def _both(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right.select(*ID), ID, "left_semi")
+    return merge_join(left, right.select(*ID), ID, "left_semi")
 
 
 def _either(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def hit_test(points: DataFrame, labels: DataFrame, shapes: DataFrame, point_id:
     shaped = salted_join(at, shapes_once(shapes), ["session"], [point_id], "inner")
     inside = shaped.filter("y >= 0 and x >= 0 and y < height and x < width").drop("height", "width")
     cell = ["session", "y", "x"]
-    hits = inside.select(*cell).distinct().join(labels.filter("label > 0"), cell)
+    hits = merge_join(inside.select(*cell).distinct(), labels.filter("label > 0"), cell)
     return salted_join(inside, hits, cell, [point_id], "inner", salts=8).select(
         point_id, "session", "y", "x", "label"
     )
@@ -83,7 +83,7 @@ def toggle_selection(selected: DataFrame, picked: DataFrame) -> DataFrame:
 def replace_selection(selected: DataFrame, picked: DataFrame) -> DataFrame:
     """Sessions with a pick hold just that pick; the others keep their selection."""
     clicked = picked.select("session").distinct()
-    return selected.join(clicked, "session", "left_anti").unionByName(picked.select(*ID).distinct())
+    return merge_join(selected, clicked, ["session"], "left_anti").unionByName(picked.select(*ID).distinct())
 
 
 def clear_selection(selected: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
@@ -108,7 +108,7 @@ def unfix_selected(selected: DataFrame, fixed: DataFrame) -> DataFrame:
 def toggle_fixed(labels: DataFrame, selected: DataFrame, fixed: DataFrame) -> DataFrame:
     """Unfix where every selected ROI of the session is fixed already, else fix them."""
     present = _both(selected, label_ids(labels))
-    marked = present.join(fixed.select(*ID, F.lit(1).alias("_f")), ID, "left")
+    marked = merge_join(present, fixed.select(*ID, F.lit(1).alias("_f")), ID, "left")
     whole = marked.groupBy("session").agg(F.min(F.coalesce("_f", F.lit(0))).alias("_all"))
     unfix = selected.join(whole.filter("_all = 1").select("session"), "session", "left_semi")
     fix = present.join(whole.filter("_all = 0").select("session"), "session", "left_semi")
@@ -123,14 +123,14 @@ def keep_present(ids: DataFrame, labels: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------ edits
 def remap_ids(ids: DataFrame, names: DataFrame) -> DataFrame:
     """Old ids to new ones; ids without a new name drop out."""
-    return ids.join(names, ID).select("session", F.col("new_label").alias("label"))
+    return merge_join(ids, names, ID).select("session", F.col("new_label").alias("label"))
 
 
 def _renamed(labels: DataFrame, fixed: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Compact the labels of the touched sessions and carry the fixed marks along."""
     ids = label_ids(labels)
-    names = relabel_map(ids.join(touched, "session", "left_semi")).unionByName(
-        ids.join(touched, "session", "left_anti").withColumn("new_label", F.col("label"))
+    names = relabel_map(merge_join(ids, touched, ["session"], "left_semi")).unionByName(
+        merge_join(ids, touched, ["session"], "left_anti").withColumn("new_label", F.col("label"))
     )
     moved = salted_join(labels, names, ID, ["y"], "inner", salts=8).select(
         "session", "y", "x", F.col("new_label").alias("label")
@@ -156,11 +156,11 @@ def clear_unfixed(state: Curation) -> Curation:
 def merge_selected(state: Curation) -> Curation:
     """Selected ROIs of a session become one, under the smallest id, if there are two
     or more; it is fixed when any of them was."""
-    marked = state.selected.select(*ID).join(state.fixed.select(*ID, F.lit(1).alias("_f")), ID, "left")
+    marked = merge_join(state.selected.select(*ID), state.fixed.select(*ID, F.lit(1).alias("_f")), ID, "left")
     groups = marked.groupBy("session").agg(
         F.count("*").alias("_n"), F.min("label").alias("_keep"), F.max("_f").alias("_fixed")
     ).filter("_n >= 2")
-    members = state.selected.select(*ID).join(groups, "session").select(*ID, "_keep")
+    members = merge_join(state.selected.select(*ID), groups, ["session"]).select(*ID, "_keep")
     joined = salted_join(state.labels, members, ID, ["y"], "left", salts=8).select(
         "session", "y", "x", F.coalesce("_keep", "label").alias("label")
     )
@@ -213,7 +213,7 @@ def undo(stacked: Curation, current: int) -> Curation:
 def roi_listing(labels: DataFrame, fixed: DataFrame) -> DataFrame:
     """Id, pixel count and fixed mark per ROI."""
     sizes = labels.filter("label > 0").groupBy(*ID).agg(F.count("*").alias("pixels"))
-    return sizes.join(fixed.select(*ID, F.lit("yes").alias("fixed")), ID, "left").select(
+    return merge_join(sizes, fixed.select(*ID, F.lit("yes").alias("fixed")), ID, "left").select(
         *ID, "pixels", F.coalesce("fixed", F.lit("")).alias("fixed")
     )
 
@@ -248,11 +248,11 @@ def take_in_order(candidates: DataFrame) -> DataFrame:
     kept = open_.df.limit(0)
     while open_.metrics["n"]:
         first = open_.df.groupBy(*pixel).agg(F.min("roi_id").alias("_first"))
-        whole = open_.df.join(first, pixel).groupBy(*roi).agg(F.min(F.col("roi_id") == F.col("_first")).alias("_all"))
-        won = StoredTable(open_.df.join(whole.filter("_all"), roi, "left_semi")).df
-        touched = open_.df.join(won.select(*pixel), pixel, "left_semi").select(*roi).distinct()
+        whole = merge_join(open_.df, first, pixel).groupBy(*roi).agg(F.min(F.col("roi_id") == F.col("_first")).alias("_all"))
+        won = StoredTable(merge_join(open_.df, whole.filter("_all"), roi, "left_semi")).df
+        touched = merge_join(open_.df, won.select(*pixel), pixel, "left_semi").select(*roi).distinct()
         kept = kept.unionByName(won)
-        open_ = StoredTable(open_.df.join(touched, roi, "left_anti"), n=F.count("*"))
+        open_ = StoredTable(merge_join(open_.df, touched, roi, "left_anti"), n=F.count("*"))
     return kept
 
 
@@ -268,7 +268,7 @@ def combine_fixed(
     """
     pixel = ["session", "y", "x"]
     taken = fixed_rois.select(*pixel).distinct()
-    clash = candidates.join(taken, pixel, "left_semi").select("session", "roi_id").distinct()
+    clash = merge_join(candidates, taken, pixel, "left_semi").select("session", "roi_id").distinct()
     free = salted_join(candidates, clash, ["session", "roi_id"], ["y", "x"], "left_anti", salts=8)
     if overlapping:
         free = take_in_order(free)

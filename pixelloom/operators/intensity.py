@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions.scalars import blend, keyed_uniform
-from pixelloom.operators.spread import group_quantiles, salted_join, shapes_once
+from pixelloom.operators.spread import group_quantiles, merge_join, salted_join, shapes_once
 from pixelloom.session import StoredTable
 
 
@@ -63,7 +63,7 @@ def _with_background(pixels: DataFrame, shapes: DataFrame | None, keys: Sequence
     if shapes is None:
         return rows
     present = pixels.groupBy(*keys).agg(F.count("*").alias("_n"))
-    zeros = shapes_once(shapes, keys).join(present, list(keys), "left").select(
+    zeros = merge_join(shapes_once(shapes, keys), present, keys, "left").select(
         *keys, F.lit(0.0).alias(value),
         (F.col("height").cast("bigint") * F.col("width") - F.coalesce("_n", F.lit(0))).alias("_weight"),
     )
@@ -220,7 +220,7 @@ def contrast_and_brightness(
         (F.sum(F.when(seen, F.col("_weight")).otherwise(0)) / F.sum("_weight")).alias("bright_fraction")
     )
     contrast = (F.col("p99") - F.col("p5")) / F.greatest(F.abs("p99"), F.lit(1.0))
-    return cuts.join(shares, keys).select(*keys, contrast.alias("contrast"), "bright_fraction")
+    return merge_join(cuts, shares, keys).select(*keys, contrast.alias("contrast"), "bright_fraction")
 
 
 def intensity_histogram(
@@ -360,7 +360,7 @@ def equalise_tiles(
     rows, cols = F.col("height"), F.col("width")
     uneven = (rows % TILES != 0) | (cols % TILES != 0)
     if isinstance(clip, DataFrame):
-        shapes = shapes.join(clip.select(*keys, F.col("clip").cast("double").alias("_clip")), keys)
+        shapes = merge_join(shapes, clip.select(*keys, F.col("clip").cast("double").alias("_clip")), keys)
     else:
         shapes = shapes.withColumn("_clip", F.lit(float(clip)))
     sized = shapes.select(
@@ -536,7 +536,7 @@ def error_overlay(
 ) -> DataFrame:
     """Grey image rows tinted by error class: ``(keys, y, x, r, g, b)``."""
     base = F.col("normalised")
-    joined = normalised.join(errors, [*keys, "y", "x"], "left")
+    joined = merge_join(normalised, errors, [*keys, "y", "x"], "left")
     out = []
     for i, name in enumerate("rgb"):
         tint = base
@@ -557,7 +557,7 @@ def label_overlay(
 ) -> DataFrame:
     """Grey image rows tinted by label, with label boundaries in one bright colour."""
     marked = label_boundary(labels, shapes, keys)
-    joined = normalised.join(marked, [*keys, "y", "x"], "left")
+    joined = merge_join(normalised, marked, [*keys, "y", "x"], "left")
     base = F.col("normalised")
     out = [
         F.when(F.col("boundary"), F.lit(BOUNDARY_COLOUR[i]))
@@ -575,6 +575,6 @@ def load_pairs(
     """Normalised image rows with the mask beside them."""
     normal = robust_normalise(pixels, low, high, keys=keys)
     flags = mask.select(*keys, "y", "x", F.lit(1.0).alias("_m")).distinct()
-    return normal.join(flags, [*keys, "y", "x"], "left").select(
+    return merge_join(normal, flags, [*keys, "y", "x"], "left").select(
         *keys, "y", "x", "normalised", F.coalesce("_m", F.lit(0.0)).alias("mask")
     )

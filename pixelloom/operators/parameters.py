@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.scalars import column_name
 from pixelloom.operators.intensity import contrast_and_brightness
-from pixelloom.operators.spread import group_quantiles
+from pixelloom.operators.spread import group_quantiles, merge_join
 
 # fixed values: name, kind, default, minimum, maximum, step
 PARAMETERS = [
@@ -51,7 +51,7 @@ def recommend(
     facts = contrast_and_brightness(pixels, shapes, keys, value)
     if labels is not None:
         areas = labels.filter("label > 0").groupBy(*keys, "label").agg(F.count("*").alias("area"))
-        facts = facts.join(group_quantiles(areas, keys, "area", {"_mid": 0.5, "_top": 0.95}), keys, "left")
+        facts = merge_join(facts, group_quantiles(areas, keys, "area", {"_mid": 0.5, "_top": 0.95}), keys, "left")
     else:
         facts = facts.withColumn("_mid", F.lit(None).cast("double")).withColumn(
             "_top", F.lit(None).cast("double")

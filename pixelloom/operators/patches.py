@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.scalars import keyed_digest, keyed_uniform
 from pixelloom.operators.intensity import dilate
-from pixelloom.operators.spread import bucketed_row_number, salted_join
+from pixelloom.operators.spread import bucketed_row_number, merge_join, salted_join
 
 PATCH = ["session", "epoch", "patch"]
 VAL_SEED_OFFSET = 1000
@@ -49,7 +49,7 @@ def sample_crops(
     small = (F.col("height") <= size) | (F.col("width") <= size)
     centred = ~small & (F.coalesce("_fg", F.lit(0)) > 0) & (draw(seed, "kind") < foreground_fraction)
     pick = F.when(centred, F.floor(draw(seed, "pixel") * F.col("_fg")).cast("bigint"))
-    aimed = drawn.withColumn("_pick", pick).join(ranked, ["session", "_pick"], "left")
+    aimed = merge_join(drawn.withColumn("_pick", pick), ranked, ["session", "_pick"], "left")
 
     def start(centre: str, side: str, tag: str) -> Column:
         room = F.col(side) - size
@@ -79,7 +79,7 @@ def crop(pixels: DataFrame, crops: DataFrame, block: int = 256) -> DataFrame:
     ).withColumn("_piece", F.explode(pieces))
     rest = [c for c in pixels.columns if c not in ("session", "y", "x")]
     placed = pixels.withColumn("_piece", F.floor(F.col("x") / block))
-    met = placed.join(lines, ["session", "y", "_piece"]).filter(
+    met = merge_join(placed, lines, ["session", "y", "_piece"]).filter(
         (F.col("x") >= F.col("left")) & (F.col("x") < F.col("left") + F.col("w"))
     )
     return met.select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.scalars import column_name, key_column, key_row
 from pixelloom.operators.components import TILE, label_runs
-from pixelloom.operators.spread import bucketed_row_number, salted_join
+from pixelloom.operators.spread import bucketed_row_number, merge_join, salted_join
 from pixelloom.operators.trees import component_tree, pixel_runs, stable_nodes
 from pixelloom.session import StoredTable
 
@@ -166,22 +166,21 @@ def stable_regions(
         found = StoredTable(_stable_in_images(_limited(image, params, keys, fixed), keys, max_side)).df
         numbered = _numbered(found.drop("spans"), keys)
         span = F.explode("spans").alias("s")
-        spans = found.select(*levels, "root", span).join(numbered.select(*levels, "root", "region"), [*levels, "root"])
+        spans = merge_join(found.select(*levels, "root", span), numbered.select(*levels, "root", "region"), [*levels, "root"])
         return numbered, spans.select(*keys, "region", "s.y", "s.x0", "s.x1")
     runs = level_runs(image, 1, keys)
     # read by the area count, the lookups and the final selection
     rooted = StoredTable(label_runs(split_runs(runs, tile), levels, tile, max_side, LEVEL)).df
     regions = rooted.groupBy(*levels, "root").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
     regions = StoredTable(_limited(regions, params, keys, fixed)).df
-    linked = regions.join(_parents(rooted, regions, keys), [*levels, "root"], "left").join(
-        _parents(rooted, regions, keys, "_delta", "far"), [*levels, "root"], "left"
-    )
+    linked = merge_join(regions, _parents(rooted, regions, keys), [*levels, "root"], "left")
+    linked = merge_join(linked, _parents(rooted, regions, keys, "_delta", "far"), [*levels, "root"], "left")
     linked = StoredTable(linked).df
 
     def lookup(df: DataFrame, of: DataFrame, apart: Column, name: str, fact: Column) -> DataFrame:
         """A fact of the region ``name``, which lies ``apart`` levels lower."""
         facts = of.select(*keys, "polarity", F.col("level").alias("_low"), F.col("root").alias(name), fact)
-        return df.withColumn("_low", F.col("level") - apart).join(facts, [*keys, "polarity", "_low", name], "left").drop("_low")
+        return merge_join(df.withColumn("_low", F.col("level") - apart), facts, [*keys, "polarity", "_low", name], "left").drop("_low")
 
     def inside(df: DataFrame, apart: Column, name: str, fact: Column) -> DataFrame:
         """Facts of the regions ``apart`` levels higher, gathered on the one that holds them."""
@@ -191,12 +190,13 @@ def stable_regions(
 
     sized = lookup(linked, regions, F.col("_delta"), "far", F.col("area").alias("_outer"))
     inner = inside(linked, F.col("_delta"), "far", F.max("area").alias("_inner"))
-    varied = StoredTable(sized.join(inner, [*levels, "root"], "left").withColumn(
+    varied = StoredTable(merge_join(sized, inner, [*levels, "root"], "left").withColumn(
         "variation", (F.col("_outer") - F.coalesce("_inner", F.lit(0))) / F.col("area")
     ).select(*levels, "root", "parent", "area", "variation", *LIMITS)).df
     main = F.max(F.struct("area", (-F.col("root")).alias("r"), "variation")).alias("_main")
-    judged = lookup(varied, varied, F.lit(1), "parent", F.col("variation").alias("_pv")).join(
-        inside(varied, F.lit(1), "parent", main), [*levels, "root"], "left"
+    judged = merge_join(
+        lookup(varied, varied, F.lit(1), "parent", F.col("variation").alias("_pv")),
+        inside(varied, F.lit(1), "parent", main), [*levels, "root"], "left",
     )
     v = F.col("variation")
     stable = judged.filter(
@@ -236,7 +236,7 @@ def run_statistics(
     """
     out = shapes.select("session")
     for df, name in ((regions, "regions"), (candidates, "candidates"), (kept, "kept"), (fixed, "fixed")):
-        out = out.join(df.groupBy("session").agg(F.count("*").alias(name)), "session", "left")
+        out = merge_join(out, df.groupBy("session").agg(F.count("*").alias(name)), ["session"], "left")
     return out.fillna(0, ["regions", "candidates", "kept", "fixed"])
 
 
