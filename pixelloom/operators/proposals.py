@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelloom.functions.scalars import column_name, key_column, key_row
 from pixelloom.operators.components import TILE, label_runs
@@ -25,38 +27,52 @@ def level_runs(image: DataFrame, delta: int, keys: Sequence[str] = ("session",))
     ``image`` is dense with values 0..255. A run starts where a scanline climbs past a
     level and ends where it falls below, so the rows made follow the image's total
     variation instead of pixels times levels. Dark polarity works on ``255 - value``.
+    Starts meet their ends within the scanline, so only pixels are shuffled or sorted.
     """
     keys = list(keys)
-    both = image.select(*keys, "y", "x", F.explode(F.array(
-        F.struct(F.lit(BRIGHT).alias("p"), F.col("value").alias("u")),
-        F.struct(F.lit(DARK).alias("p"), (255 - F.col("value")).alias("u")),
-    )).alias("_b")).select(
-        *keys, F.col("_b.p").alias("polarity"), "y", "x", F.floor(F.col("_b.u") / delta).cast("int").alias("_k")
-    )
-    line = Window.partitionBy(*keys, "polarity", "y").orderBy("x")
-    stepped = (
-        both.withColumn("_before", F.coalesce(F.lag("_k").over(line), F.lit(0)))
-        .withColumn("_after", F.coalesce(F.lead("_k").over(line), F.lit(0)))
-        .filter("_k > _before or _k > _after")
-    )
-    here = F.col("_k")
+    pixels = image.select(*keys, "y", "x", F.col("value").cast("int").alias("value")).filter("value is not null")
+    kinds = {f.name: f for f in pixels.schema.fields}
+    schema = T.StructType([
+        *[kinds[k] for k in keys], T.StructField("polarity", T.IntegerType()), T.StructField("level", T.IntegerType()),
+        kinds["y"], T.StructField("x0", kinds["x"].dataType), T.StructField("x1", kinds["x"].dataType),
+    ])
+    return pixels.groupBy(*keys, "y").applyInArrow(_line_runs(keys, int(delta)), schema)
 
-    def rises(start: str) -> Column:
-        low = F.col(start) + 1
-        return F.when(here >= low, F.sequence(low, here)).otherwise(F.array().cast("array<int>"))
 
-    events = F.concat(
-        F.transform(rises("_before"), lambda v: F.struct(v.alias("level"), F.lit(0).alias("end"))),
-        F.transform(rises("_after"), lambda v: F.struct(v.alias("level"), F.lit(1).alias("end"))),
-    )
-    marks = stepped.select(*keys, "polarity", "y", "x", F.explode(events).alias("_e")).select(
-        *keys, "polarity", F.col("_e.level").alias("level"), "y", "x", F.col("_e.end").alias("_end")
-    )
-    # starts and ends of a level alternate along a scanline
-    order = Window.partitionBy(*keys, *LEVEL, "y").orderBy("x", "_end")
-    return marks.withColumn("x1", F.lead("x").over(order)).filter("_end = 0").select(
-        *keys, *LEVEL, "y", F.col("x").alias("x0"), "x1"
-    )
+#: Runs of a scanline that are worked at a time.
+RUNS = 1 << 18
+
+
+def _line_runs(keys: Sequence[str], delta: int):
+    """All runs of one scanline, some levels at a time."""
+
+    def crossings(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Level and place of each level that ``high`` reaches and ``low`` does not, by level, then place."""
+        many = np.maximum(high - low, 0)
+        at = np.repeat(np.arange(len(high)), many)
+        level = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + low[at] + 1
+        order = np.argsort(level, kind="stable")
+        return level[order], at[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = pa.Table.from_batches(batches).combine_chunks().sort_by("x")
+        x, value = line.column("x").to_numpy(), line.column("value").to_numpy().astype(np.int64)
+        for polarity in (BRIGHT, DARK):
+            k = (value if polarity == BRIGHT else 255 - value) // delta
+            rises = int(np.maximum(np.diff(k, prepend=0), 0).sum())
+            cuts = np.linspace(0, max(k.max(), 0), -(-rises // RUNS) + 1).astype(np.int64)
+            for above, upto in zip(cuts[:-1], cuts[1:]):
+                here = np.clip(k, above, upto)
+                level, first = crossings(here, np.append(above, here[:-1]))
+                _, last = crossings(here, np.append(here[1:], above))
+                n = len(level)
+                columns = [pa.repeat(line.column(c)[0], n) for c in keys] + [
+                    pa.repeat(pa.scalar(polarity, pa.int32()), n), pa.array(level, pa.int32()), pa.repeat(line.column("y")[0], n),
+                    pa.array(x[first]), pa.array(x[last]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, "polarity", "level", "y", "x0", "x1"])
+
+    return run
 
 
 def split_runs(runs: DataFrame, tile: int) -> DataFrame:
