@@ -24,8 +24,7 @@ def evaluate_split(
 ) -> DataFrame:
     """Score every included session of a split.
 
-    Pixels of other sessions are dropped before any shuffle when the list of wanted
-    sessions is small enough for Spark to send it to the scans.
+    Pixels of other sessions are dropped before any labelling.
     """
     rows = select_rows(manifest, included_only=True, split=split)
     wanted = rows.select("session")
