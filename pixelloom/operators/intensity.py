@@ -208,10 +208,11 @@ def contrast_and_brightness(
 ) -> DataFrame:
     """Contrast (p99 - p5) / max(abs(p99), 1) and the share of pixels at or above p95.
 
-    NaN pixels are left out of the percentiles but stay in the denominator.
+    NaN pixels are left out of the percentiles but stay in the denominator. The rows are read by
+    several steps, each of which would repeat their plan, so they are stored once.
     """
     keys = list(keys)
-    rows = _with_background(pixels, shapes, keys, value)
+    rows = StoredTable(_with_background(pixels, shapes, keys, value)).df
     known = rows.filter(F.col(value).isNotNull() & ~F.isnan(value))
     cuts = group_quantiles(known, keys, value, {"p5": 0.05, "p95": 0.95, "p99": 0.99}, "_weight")
     seen = F.col(value) >= F.col("p95")

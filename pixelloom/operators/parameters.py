@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions.scalars import column_name
 from pixelloom.operators.intensity import contrast_and_brightness
 from pixelloom.operators.spread import group_quantiles, merge_join
+from pixelloom.session import StoredTable
 
 # fixed values: name, kind, default, minimum, maximum, step
 PARAMETERS = [
@@ -50,7 +51,8 @@ def recommend(
     keys = list(keys)
     facts = contrast_and_brightness(pixels, shapes, keys, value)
     if labels is not None:
-        areas = labels.filter("label > 0").groupBy(*keys, "label").agg(F.count("*").alias("area"))
+        # the percentiles read the areas several times
+        areas = StoredTable(labels.filter("label > 0").groupBy(*keys, "label").agg(F.count("*").alias("area"))).df
         facts = merge_join(facts, group_quantiles(areas, keys, "area", {"_mid": 0.5, "_top": 0.95}), keys, "left")
     else:
         facts = facts.withColumn("_mid", F.lit(None).cast("double")).withColumn(
