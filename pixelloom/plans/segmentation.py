@@ -62,11 +62,10 @@ def propose_rois(
     regions = StoredTable(regions).df
     drawn = StoredTable(drawn).df
     good = StoredTable(shape_candidates(drawn, params)).df
-    candidates = salted_join(drawn, good, ["session", "label"], ["y"], "inner", salts=8).withColumnRenamed(
+    candidates = StoredTable(salted_join(drawn, good, ["session", "label"], ["y"], "inner", salts=8).withColumnRenamed(
         "label", "roi_id"
-    )
-    if fixed_rois is None:
-        fixed_rois = candidates.limit(0)
+    )).df
+    fixed_rois = candidates.limit(0) if fixed_rois is None else StoredTable(fixed_rois).df
     rois, labels = combine_fixed(fixed_rois, candidates)
     kept = rois.select("session", "label", "is_fixed").distinct()
     stats = run_statistics(shapes, regions, good, kept, kept.filter(F.col("is_fixed")))

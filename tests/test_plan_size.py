@@ -11,3 +11,7 @@ def exchanges(df):
 
 def test_own_parameters(spark):
     assert exchanges(regions.own_parameters(spark, SF)) < 60
+
+
+def test_proposals(spark):
+    assert exchanges(regions.propose_rois_query(spark, SF)) < 60
