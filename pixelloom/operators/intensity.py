@@ -82,7 +82,7 @@ def image_percentiles(
 
 # --------------------------------------------------------------- normalisation
 def _attach(pixels: DataFrame, facts: DataFrame, keys: Sequence[str], spread_by: str = "y") -> DataFrame:
-    return salted_join(pixels, facts, list(keys), [spread_by], "left")
+    return salted_join(pixels, facts, list(keys), [spread_by], "left", hashed=True)
 
 
 def _clip01(value: Column) -> Column:
