@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.operators.components import labels_at_points, probability_to_labels, relabel_map
-from pixelloom.operators.spread import bucketed_row_number, merge_join, salted_join, shapes_once
+from pixelloom.operators.spread import bucketed_row_number, hash_join, merge_join, salted_join, shapes_once
+from pixelloom.operators.words import pack_words, word_pixels
 from pixelloom.session import StoredTable
 
 ID = ["session", "label"]
@@ -237,23 +238,35 @@ def status_counts(state: Curation) -> DataFrame:
 
 # -------------------------------------------------------------- fixed + proposed
 def take_in_order(candidates: DataFrame) -> DataFrame:
-    """Of overlapping ``(session, roi_id, y, x)`` those that a pass by rising id would keep.
+    """Of overlapping ``(session, roi_id, y, x)``, or their words, those that a pass by rising id would keep.
 
     Each is kept whole unless it shares a pixel with one kept before it. A round keeps the
-    candidates that come first at all of their pixels and drops what touches them; pixels
-    are reduced to their first candidate, so no pairs are made. Every round is stored.
+    candidates that come first at all of their pixels and drops what touches them; words
+    are compared with all that lies before them, so no pairs are made. Every round is stored.
     """
-    pixel, roi = ["session", "y", "x"], ["session", "roi_id"]
-    open_ = StoredTable(candidates.select("session", "roi_id", "y", "x").distinct(), n=F.count("*"))
+    word, roi = ["session", "y", "_w"], ["session", "roi_id"]
+    open_ = StoredTable(_words_of(candidates).select(*roi, "y", "_w", "bits"), n=F.count("*"))
     kept = open_.df.limit(0)
+    before = Window.partitionBy(*word).orderBy("roi_id").rowsBetween(Window.unboundedPreceding, -1)
     while open_.metrics["n"]:
-        first = open_.df.groupBy(*pixel).agg(F.min("roi_id").alias("_first"))
-        whole = merge_join(open_.df, first, pixel).groupBy(*roi).agg(F.min(F.col("roi_id") == F.col("_first")).alias("_all"))
-        won = StoredTable(merge_join(open_.df, whole.filter("_all"), roi, "left_semi")).df
-        touched = merge_join(open_.df, won.select(*pixel), pixel, "left_semi").select(*roi).distinct()
+        lower = open_.df.withColumn("_lower", F.coalesce(F.bit_or("bits").over(before), F.lit(0).cast("bigint")))
+        whole = lower.groupBy(*roi).agg(F.min(F.col("bits").bitwiseAND(F.col("_lower")) == 0).alias("_all"))
+        won = StoredTable(hash_join(open_.df, whole.filter("_all"), roi, "left_semi")).df
         kept = kept.unionByName(won)
-        open_ = StoredTable(merge_join(open_.df, touched, roi, "left_anti"), n=F.count("*"))
-    return kept
+        open_ = StoredTable(hash_join(open_.df, _touching(open_.df, won), roi, "left_anti"), n=F.count("*"))
+    return word_pixels(kept)
+
+
+def _words_of(rois: DataFrame) -> DataFrame:
+    return rois if "bits" in rois.columns else pack_words(rois, ["session", "roi_id"])
+
+
+def _touching(words: DataFrame, taken: DataFrame) -> DataFrame:
+    """``(session, roi_id)`` of the words that share a pixel with ``taken``."""
+    word = ["session", "y", "_w"]
+    held = taken.groupBy(*word).agg(F.bit_or("bits").alias("_held"))
+    met = merge_join(words, held, word).filter(F.col("bits").bitwiseAND(F.col("_held")) != 0)
+    return met.select("session", "roi_id").distinct()
 
 
 def combine_fixed(
@@ -262,16 +275,17 @@ def combine_fixed(
     """Fixed ROIs first, then candidates that touch none of their pixels.
 
     Both inputs are long ``(session, roi_id, y, x)``; candidates are disjoint, as those
-    drawn from one label image are, or ``overlapping`` and taken in order. Returns
-    ``(session, label, is_fixed, y, x)`` and the label table. A candidate that conflicts
-    is dropped whole.
+    drawn from one label image are, or ``overlapping`` and taken in order; these may also be words
+    ``(session, roi_id, y, _w, bits)``. Returns ``(session, label, is_fixed, y, x)`` and the label
+    table. A candidate that conflicts is dropped whole.
     """
-    pixel = ["session", "y", "x"]
-    taken = fixed_rois.select(*pixel).distinct()
-    clash = merge_join(candidates, taken, pixel, "left_semi").select("session", "roi_id").distinct()
-    free = salted_join(candidates, clash, ["session", "roi_id"], ["y", "x"], "left_anti", salts=8)
+    taken = pack_words(fixed_rois, ["session"])
     if overlapping:
-        free = take_in_order(free)
+        words = _words_of(candidates)
+        free = take_in_order(hash_join(words, _touching(words, taken), ["session", "roi_id"], "left_anti"))
+    else:
+        clash = _touching(_words_of(candidates), taken)
+        free = salted_join(candidates, clash, ["session", "roi_id"], ["y", "x"], "left_anti", salts=8, hashed=True)
     return number_fixed_then_free(fixed_rois, free)
 
 
@@ -284,7 +298,7 @@ def number_fixed_then_free(fixed_rois: DataFrame, free: DataFrame) -> tuple[Data
     names = bucketed_row_number(ids, ["session"], order, [F.col("roi_id")], "label").withColumn(
         "label", F.col("label").cast("int")
     )
-    rois = salted_join(both, names, ["session", "_late", "roi_id"], ["y", "x"], "inner", salts=8).select(
+    rois = salted_join(both, names, ["session", "_late", "roi_id"], ["y", "x"], "inner", salts=8, hashed=True).select(
         "session", "label", (F.col("_late") == 0).alias("is_fixed"), "y", "x"
     )
     # a pixel of two fixed ROIs belongs to the later one

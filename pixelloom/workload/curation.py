@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.operators import curate as U
 from pixelloom.operators.history import ChangeLog, marks_of
-from pixelloom.operators.rois import clean_roi_pixels
+from pixelloom.operators.rois import roi_words
 from pixelloom.session import StoredTable, shared_dir
 from pixelloom.workload import shared, views
 from pixelloom.workload.registry import register
@@ -267,6 +267,6 @@ GREEDY = {
 def combine_overlapping_rois(spark, sf):
     """Fixed ROIs, then of overlapping candidates those that a pass by rising id keeps."""
     fixed = shared.predicted_labels(spark, sf).filter("label % 40 = 2").withColumnRenamed("label", "roi_id")
-    clean, _ = clean_roi_pixels(views.roi_pixels(spark, sf), views.sessions(spark, sf))
-    rois, _ = U.combine_fixed(fixed, clean.select("session", "roi_id", "y", "x").distinct(), overlapping=True)
+    candidates = roi_words(views.roi_pixels(spark, sf), views.sessions(spark, sf), ids=["roi_id"])
+    rois, _ = U.combine_fixed(StoredTable(fixed).df, StoredTable(candidates).df, overlapping=True)
     return rois
