@@ -132,28 +132,35 @@ def _in_range(delta: float, min_area: float, max_area: float, max_variation: flo
     return max(1, round(delta)), least, max(least + 1, round(max_area)), float(max_variation)
 
 
-def _stable_in_images(limited: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
-    """Stable regions, with their runs, of images of at most ``side`` rows and columns: a tree per polarity."""
+def _stable_in_images(limited: DataFrame, keys: Sequence[str], side: int, with_spans: bool) -> DataFrame:
+    """Stable regions, with their runs if wanted, of images of at most ``side`` rows and columns: a tree per polarity."""
     image = limited
     kinds = dict(image.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + (
-        ", polarity int, level int, root long, area long, variation double, spans array<struct<y:int,x0:int,x1:int>>"
-    )
+        ", polarity int, level int, root long, area long, variation double"
+    ) + (", spans array<struct<y:int,x0:int,x1:int>>" if with_spans else "")
 
     def run(key, frame):
         y, x = frame["y"].to_numpy(), frame["x"].to_numpy()
         if max(y.max(), x.max()) >= side:
             raise ValueError(f"a pixel lies outside max_side={side}")
-        rows = []
+        parts = []
         for polarity in (BRIGHT, DARK):
             levels = np.zeros((y.max() + 1, x.max() + 1), np.int64)
             levels[y, x] = frame["value"].to_numpy() if polarity == BRIGHT else 255 - frame["value"].to_numpy()
             tree, width = component_tree(levels), levels.shape[1]
-            for node, level, variation in zip(*stable_nodes(tree, *(frame[c].iloc[0] for c in LIMITS))):
-                first = int(tree.first[node])
-                spans = [dict(zip(("y", "x0", "x1"), map(int, s))) for s in zip(*pixel_runs(tree, node, width))]
-                rows.append((*key, polarity, int(level), (first // width << 32) + first % width, int(tree.area[node]), float(variation), spans))
-        return pd.DataFrame(rows, columns=[*keys, "polarity", "level", "root", "area", "variation", "spans"])
+            node, level, variation = stable_nodes(tree, *(frame[c].iloc[0] for c in LIMITS))
+            first = tree.first[node].astype(np.int64)
+            part = pd.DataFrame({
+                **{k: [v] * len(node) for k, v in zip(keys, key)}, "polarity": polarity, "level": level,
+                "root": (first // width << 32) + first % width, "area": tree.area[node], "variation": variation,
+            })
+            if with_spans:
+                part["spans"] = [
+                    [dict(zip(("y", "x0", "x1"), map(int, s))) for s in zip(*pixel_runs(tree, n, width))] for n in node
+                ]
+            parts.append(part)
+        return pd.concat(parts, ignore_index=True)
 
     return image.select(*keys, "y", "x", "value", *LIMITS).groupBy(*keys).applyInPandas(run, schema)
 
@@ -161,9 +168,9 @@ def _stable_in_images(limited: DataFrame, keys: Sequence[str], side: int) -> Dat
 def stable_regions(
     image: DataFrame, delta: int = 5, min_area: int = 30, max_area: int = 15000,
     max_variation: float = 1.2, keys: Sequence[str] = ("session",), tile: int = TILE,
-    max_side: int | None = None, params: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Regions that change least across grey levels, and their runs.
+    max_side: int | None = None, params: DataFrame | None = None, with_spans: bool = True,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Regions that change least across grey levels, and their runs, or None for these without ``with_spans``.
 
     Every grey level is looked at. variation = (area ``delta`` levels lower - area ``delta``
     levels higher) / area. A region is kept when its variation is no more than that of the
@@ -179,8 +186,10 @@ def stable_regions(
     fixed = (delta, min_area, max_area, max_variation)
     levels = [*keys, *LEVEL]
     if max_side is not None and max_side <= tile:
-        found = StoredTable(_stable_in_images(_limited(image, params, keys, fixed), keys, max_side)).df
+        found = StoredTable(_stable_in_images(_limited(image, params, keys, fixed), keys, max_side, with_spans)).df
         numbered = _numbered(found.drop("spans"), keys)
+        if not with_spans:
+            return numbered, None
         span = F.explode("spans").alias("s")
         spans = merge_join(found.select(*levels, "root", span), numbered.select(*levels, "root", "region"), [*levels, "root"])
         return numbered, spans.select(*keys, "region", "s.y", "s.x0", "s.x1")
@@ -221,6 +230,8 @@ def stable_regions(
         & (F.col("_main.variation").isNull() | (v < F.col("_main.variation")))
     ).select(*levels, "root", "area", "variation")
     numbered = _numbered(stable, keys)
+    if not with_spans:
+        return numbered, None
     spans = salted_join(
         rooted, numbered.select(*levels, "root", "region"), [*levels, "root"], ["y"], "inner", salts=8
     ).select(*keys, "region", "y", "x0", "x1")

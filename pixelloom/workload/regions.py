@@ -135,7 +135,7 @@ def level_runs_every_level(spark, sf):
 @register("stable_regions")
 def stable_regions(spark, sf):
     image = StoredTable(byte_image(spark, sf)).df
-    regions, _ = Q.stable_regions(image, 5, 5, 200, 1.2, max_side=SIDE)
+    regions, _ = Q.stable_regions(image, 5, 5, 200, 1.2, max_side=SIDE, with_spans=False)
     return regions.select(
         "session", "region", "polarity", "level", key_row("root").alias("first_y"),
         key_column("root").alias("first_x"), "area", "variation",
