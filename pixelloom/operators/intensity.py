@@ -454,9 +454,9 @@ def enhance_contrast(
 
 # ------------------------------------------------------------------------- runs
 def mask_runs(mask: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
-    """Horizontal runs ``(keys, y, x0, x1)`` of a mask, one shuffle on the scanline."""
+    """Horizontal runs ``(keys, y, x0, x1)`` of a mask, one shuffle on the scanline; pixels may repeat."""
     line = Window.partitionBy(*keys, "y").orderBy("x")
-    gap = F.col("x") - F.row_number().over(line)
+    gap = F.col("x") - F.dense_rank().over(line)
     return mask.select(*keys, "y", "x", gap.alias("_g")).groupBy(*keys, "y", "_g").agg(
         F.min("x").alias("x0"), F.max("x").alias("x1")
     ).drop("_g")
