@@ -149,9 +149,9 @@ SMALL = {"MSER min area": 5, "MSER max area": 200, "area min": 5, "MSER threshol
 
 @register("propose_rois")
 def propose_rois_query(spark, sf):
-    """The whole model-free route with two target ROIs of each session held fixed."""
+    """The whole model-free route with all target ROIs of each session held fixed."""
     pixels, shapes = views.pixels(spark, sf), views.pixel_sessions(spark, sf)
-    fixed = shared.target_labels(spark, sf).filter("label = 2").withColumnRenamed("label", "roi_id")
+    fixed = shared.target_labels(spark, sf).withColumnRenamed("label", "roi_id")
     out = propose_rois(I.densify(pixels, shapes), shapes, SMALL, fixed, max_side=SIDE)
     return out.rois.groupBy("session", "label", "is_fixed").agg(F.count("*").alias("area"))
 
